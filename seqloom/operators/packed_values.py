@@ -118,15 +118,15 @@ SPLITTERS = {"authors": split_authors, "keywords": split_keywords}
 
 
 def explode_values(df: DataFrame, id_col: str, text_col: str, field: str, splitter=None) -> DataFrame:
-    """One row (field, row_id, pos, item) for each value of ``text_col``; repeated ids count once.
+    """One row (field, row_id, pos, item) for each value of ``text_col``.
 
     Null or blank texts give no row. Positions are 1, 2, ... without gaps; empty values take none.
-    Of several rows with one id but other texts, the smallest text is taken.
+    Rows equal in id and text count once; rows with one id but other texts are split each for itself.
     Other columns of ``df`` don't matter: only the two named ones are read.
     """
     split = splitter or SPLITTERS[field]
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("packed"))
-    rows = rows.where(F.col("packed").isNotNull()).groupBy("row_id").agg(F.min("packed").alias("packed"))
+    rows = rows.where(F.col("packed").isNotNull()).dropDuplicates()
     values = rows.select("row_id", F.posexplode(split(F.col("packed"))).alias("at", "item"))
     return values.select(
         F.lit(field).alias("field"), F.col("row_id").cast("long").alias("row_id"), (F.col("at") + 1).cast("int").alias("pos"), "item"
