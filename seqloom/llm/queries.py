@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bin_packing, shared_spans, splitting, term_counts, tokens
+from seqloom.llm import bin_packing, name_variants, shared_spans, splitting, term_counts, tokens
+from seqloom.operators.packed_values import explode_values
 from seqloom.session import cut, table
 
 
@@ -41,6 +42,17 @@ def p4_page_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.text_pieces(table(spark, sf_dir, "documents"), "doc_id", "text", 2000, 100)
 
 
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct spelling of a person or body, how often it stands, and its entity."""
+    refs = table(spark, sf_dir, "record_refs")
+    authors = explode_values(refs, "ref_id", "authors", "authors").select("field", F.col("item").alias("name"))
+    return name_variants.name_entities(authors.unionByName(name_variants.bodies(refs.dropDuplicates(["ref_id"]))))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.variant_pairs(p7_entities(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
@@ -51,7 +63,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("piece").cast("long").alias("piece"), "start", "size", "container_id", F.col("place").cast("long").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_later_copies, p3_counts, p3_found, p4_found, p4_page_pieces, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_later_copies, p3_counts, p3_found, p4_found, p4_page_pieces, p7_entities, p7_found, p8_ids, p9_containers)}
 
 _P3 = r"""
     WITH f AS (SELECT DISTINCT ON (feature_id, record_id) * FROM features),
