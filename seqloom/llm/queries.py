@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import bin_packing, name_variants, shared_spans, splitting, term_counts, tokens
+from seqloom.llm import bin_packing, name_variants, shared_spans, spam_pages, splitting, term_counts, tokens
 from seqloom.operators.packed_values import explode_values
 from seqloom.session import cut, table
 
@@ -63,7 +63,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("piece").cast("long").alias("piece"), "start", "size", "container_id", F.col("place").cast("long").alias("place"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_later_copies, p3_counts, p3_found, p4_found, p4_page_pieces, p7_entities, p7_found, p8_ids, p9_containers)}
+def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters by kind of matter and the measures of every page with text."""
+    documents = table(spark, sf_dir, "documents")
+    return spam_pages.page_measures(documents, spam_pages.calibrate(documents))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages.stuffed_pages(p10_measures(spark, sf_dir)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_later_copies, p3_counts, p3_found, p4_found, p4_page_pieces, p7_entities, p7_found, p8_ids, p9_containers, p10_measures, p10_found)}
 
 _P3 = r"""
     WITH f AS (SELECT DISTINCT ON (feature_id, record_id) * FROM features),
