@@ -57,7 +57,7 @@ _GARBLED = re.compile(r"[ÃÂÐÑÎÏãåæçèéäΓΒΠΡВГРС][\x80-\xbfŒ
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 
 #: Part of a language's usual share of function words that makes a line prose.
-PROSE_PART = 0.4
+PROSE_PART = 0.3
 #: Share of function words taken for a language of which the corpus has no sure sentence.
 DEFAULT_SHARE = 0.3
 LONG_LINE_WORDS, MANY_SEGMENTS, FEWEST_BLOCK_WORDS = 25, 16, 12
@@ -157,16 +157,18 @@ def _is_prose(line: Line, page: Page, usual: float) -> bool:
         return bool(_ENDERS.search(line.text)) and separators < MOST_SEPARATORS * max(n, 1)
     share = function_share(line, page.lang)
     if page.lang == "ja":
-        return share * len(line.text) >= PROSE_PART * usual * len(text) and separators * 12 < len(text)
+        told = "。" in text and line.n_function >= 3 or share * len(line.text) >= PROSE_PART * usual * len(text)
+        return told and separators * 12 < len(text)
     if separators > MOST_SEPARATORS * n and separators > 2:
         return False
     if line.n_function < 2 and _TAG.search(line.text):
         return False
     if n <= 8 and line.text[-1] in ".!?\"”»…" and _ENDERS.search(line.text):
         return True
-    if share < PROSE_PART * usual or line.n_function < 2:
+    if share < PROSE_PART * usual:
         return False
-    return n <= 40 or bool(_ENDERS.search(line.text))
+    enders = len(_ENDERS.findall(text))
+    return (n <= 40 or enders > 0) and (line.n_function >= 2 or enders * LONG_LINE_WORDS / 2 >= n)
 
 
 def classify(page: Page, usual: float) -> dict:
@@ -205,7 +207,7 @@ def classify(page: Page, usual: float) -> dict:
             line.kind = "unclear"
     letters = Counter()
     for line in page.lines:
-        letters[line.kind] += len(line.text)
+        letters[line.kind] += len(line.text) + (len(_CJK.findall(line.text)) if page.lang == "ja" else 0)  # wide letters count twice
     lines = len(page.lines)
     return {
         "stuffing": letters["stuffing"],
