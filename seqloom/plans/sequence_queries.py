@@ -10,7 +10,7 @@ from seqloom.functions.location_udf import bounds, gb_format_location, gb_parse_
 from seqloom.operators import records as ops
 from seqloom.operators import statistics as stats
 from seqloom.operators.regions import merge_spans, overlap_join
-from seqloom.session import table
+from seqloom.session import spread, table
 from seqloom.sources.genbank import parse_genbank, to_genbank
 
 REGION = 1000
@@ -77,7 +77,7 @@ def simple_locations(spark, sf_dir):
 
 def location_round_trip(spark, sf_dir):
     """Every location parsed and printed again."""
-    return _features(spark, sf_dir).select("feature_id", gb_format_location(gb_parse_location("location_gb")).alias("shown"))
+    return spread(_features(spark, sf_dir).select("feature_id", "location_gb")).select("feature_id", gb_format_location(gb_parse_location("location_gb")).alias("shown"))
 
 
 def list_bounds(spark, sf_dir):

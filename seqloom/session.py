@@ -49,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of fewer splits than task slots to all slots, before a costly step in Python.
+
+    A table of many files is left as it is: no shuffle where there is anything to shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(slots) if 2 * splits <= slots else df
