@@ -21,11 +21,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import spread
+
 # Words that sentences need and keyword lists do without.
 FUNCTION_WORDS = {
     "en": "the a an of and to is was were that by be or but for on at has had have been our my some this each if until while because before after as will not i we it its they which who would could so than then",
@@ -65,6 +68,26 @@ REPEATED_TIMES, REPEATED_SHARE, DUPLICATE_TIMES = 3, 0.4, 3
 MOST_SEPARATORS = 0.25
 
 
+#: Plain strings of which a line must hold one before the costlier expression is tried.
+_LINK_HINTS = ("http", "www.", "<a", "href", "[url", ".com", ".net", ".org", ".info", ".biz", ".io", ".eu", ".de", ".fr", ".es", ".ru", ".gr", ".jp", ".uk", ".example", ".test")
+_BOILERPLATE_HINTS = (
+    "©", "�", "cookie", "куки", "クッキー", "копирайт", "rights reserved", "back to top", "nach oben", "derechos", "droits", "無断", "error", "fehler", "erreur",
+    "ошибка", "σφάλμα", "エラー", "404", "403", "500", "503",
+)
+
+
+def has_link(text: str) -> bool:
+    low = text.lower()
+    return any(hint in low for hint in _LINK_HINTS) and bool(_LINK.search(text))
+
+
+def is_boilerplate(text: str) -> bool:
+    if len(text) >= 250:
+        return False
+    low = text.lower()
+    return any(hint in low for hint in _BOILERPLATE_HINTS) and bool(_BOILERPLATE.search(text))
+
+
 def n_separators(text: str) -> int:
     return sum(map(text.count, _SEPARATORS))
 
@@ -104,23 +127,29 @@ def repaired(text: str, n_hits: int) -> tuple[str, int]:
 
 
 def _hits(counts: Counter) -> dict[str, int]:
-    return {name: sum(counts[w] for w in words if w in counts) for name, words in _SETS.items()}
+    return {name: sum(map(counts.__getitem__, words & counts.keys())) for name, words in _SETS.items()}
+
+
+def _lines(text: str) -> tuple[list[str], list[list[str]], Counter]:
+    """Lines that aren't blank, their words without those of links, and the counts of all words."""
+    raw = [line for line in map(str.strip, re.split(r"[\r\n]+", text)) if line]
+    split = [_WORD.findall((_LINK_TEXT.sub(" ", line) if has_link(line) else line).lower()) for line in raw]
+    return raw, split, Counter(chain.from_iterable(split))
 
 
 def read_page(text: str, lang: str | None) -> Page:
     """Lines with their words; the language is the one with the most function words, else the given one."""
     page = Page()
-    cjk = len(_CJK.findall(text))
+    raw, split, counts = _lines(text)
+    cjk = 0 if text.isascii() else len(_CJK.findall(text))
     if not text.isascii() and cjk * 5 <= len(text):
-        counts = Counter(_WORD.findall(text.lower()))
         hits = max(_hits(counts).values())
-        if hits * 12 < sum(counts.values()) or len(_GARBLED.findall(text)) * 200 > len(text):
+        odd = len(_GARBLED.findall(text))
+        if hits * 12 < sum(counts.values()) or odd * 200 > len(text):
             text, _ = repaired(text, hits)
-            cjk = len(_CJK.findall(text))
-        page.garbled = len(_GARBLED.findall(text)) * 40 > len(text)
-    raw = [line.strip() for line in re.split(r"[\r\n]+", text)]
-    raw = [line for line in raw if line]
-    split = [_WORD.findall((_LINK_TEXT.sub(" ", line) if _LINK.search(line) else line).lower()) for line in raw]
+            raw, split, counts = _lines(text)
+            cjk, odd = len(_CJK.findall(text)), len(_GARBLED.findall(text))
+        page.garbled = odd * 40 > len(text)
     if cjk * 5 > len(text):
         page.lang = "ja"
         for line, words in zip(raw, split):
@@ -129,12 +158,11 @@ def read_page(text: str, lang: str | None) -> Page:
             else:
                 page.lines.append(Line(line, [w for w in re.split(r"[\W\d_]+", line) if w], len(_HIRAGANA.findall(line))))
         return page
-    counts = Counter(w for words in split for w in words)
     hits = _hits(counts)
     best = max(hits, key=lambda k: hits[k])
     page.lang = best if hits[best] else lang if lang in _SETS else "en"
     known = _SETS[page.lang]
-    page.lines = [Line(line, words, sum(w in known for w in words)) for line, words in zip(raw, split)]
+    page.lines = [Line(line, words, sum(map(known.__contains__, words))) for line, words in zip(raw, split)]
     return page
 
 
@@ -143,12 +171,12 @@ def function_share(line: Line, lang: str) -> float:
 
 
 def is_sure_sentence(line: Line) -> bool:
-    return len(line.text) >= 20 and line.text[-1] in ".!?。！？" and len(line.words) >= (1 if _CJK.search(line.text) else 6) and not _LINK.search(line.text)
+    return len(line.text) >= 20 and line.text[-1] in ".!?。！？" and len(line.words) >= (1 if _CJK.search(line.text) else 6) and not has_link(line.text)
 
 
 def _is_prose(line: Line, page: Page, usual: float) -> bool:
     n, text = len(line.words), line.text
-    if _LINK.search(text):
+    if has_link(text):
         text = _LINK_TEXT.sub(" ", text)
         if len(text) < 0.5 * len(line.text):
             return False
@@ -177,11 +205,11 @@ def classify(page: Page, usual: float) -> dict:
     open_lines: list[Line] = []
     for line in page.lines:
         t = line.text
-        if len(t) < 250 and _BOILERPLATE.search(t):
+        if is_boilerplate(t):
             line.kind = "boilerplate"
         elif _is_prose(line, page, usual):
             line.kind = "prose"
-        elif _CODE.match(t) or (_HONEST.search(t) and not _LINK.search(t) and not _TAG.search(t)):
+        elif _CODE.match(t) or (_HONEST.search(t) and not has_link(t) and not _TAG.search(t)):
             line.kind = "honest"
         else:
             line.kind = "open"
@@ -195,7 +223,7 @@ def classify(page: Page, usual: float) -> dict:
         repeated = sum(words[w] >= REPEATED_TIMES for w in line.words)
         few_function = function_share(line, page.lang) < PROSE_PART * usual
         if (
-            _LINK.search(t)
+            has_link(t)
             or _TAG.search(t)
             or (n >= LONG_LINE_WORDS and few_function and not page.garbled)
             or segments >= MANY_SEGMENTS
@@ -216,7 +244,7 @@ def classify(page: Page, usual: float) -> dict:
         "top_word_share": max(words.values(), default=0) / max(total, 1),
         "repeated_word_share": sum(c for c in words.values() if c >= REPEATED_TIMES) / max(total, 1),
         "duplicate_line_share": sum(c for c in same.values() if c > 1) / max(lines, 1),
-        "link_line_share": sum(bool(_LINK.search(line.text)) for line in page.lines) / max(lines, 1),
+        "link_line_share": sum(has_link(line.text) for line in page.lines) / max(lines, 1),
         "separator_density": sum(n_separators(line.text) for line in open_lines) / max(total, 1),
         "function_word_share": sum(line.n_function for line in page.lines) / max(sum(len(line.words) for line in page.lines), 1),
     }
@@ -241,7 +269,7 @@ def calibrate(documents: DataFrame, text_col: str = "text", lang_col: str = "lan
         arrays = [pa.array(list(sums), pa.string()), pa.array([int(v[0]) for v in sums.values()], pa.int64()), pa.array([float(v[1]) for v in sums.values()], pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "total"])
 
-    rows = documents.where(F.col(text_col).isNotNull()).select(text_col, lang_col)
+    rows = spread(documents.where(F.col(text_col).isNotNull()).select(text_col, lang_col))
     parts = rows.mapInArrow(run, "lang string, n long, total double")
     found = parts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
     return {r["lang"]: r["total"] / r["n"] for r in found if r["n"]}
@@ -263,7 +291,7 @@ def page_measures(documents: DataFrame, usual: dict[str, float], id_col: str = "
 
     kind = documents.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, page_lang string, stuffing long, honest long, left_out long, " + ", ".join(f"{m} double" for m in _MEASURES)
-    return documents.where(F.trim("text") != "").select(id_col, "text", "lang").mapInArrow(run, schema)
+    return spread(documents.where(F.trim("text") != "").select(id_col, "text", "lang")).mapInArrow(run, schema)
 
 
 def stuffed_pages(measures: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ Defined ids: null and empty texts give an empty list. Special tokens are never p
 in a text are ordinary text. Any other text is encoded whole, whatever its length.
 
 The rank file and split pattern are parameters (``TokenizerSpec``); each Python worker reads the file
-once. Encoding is a narrow step: no shuffle, rows leave in the order and partition they came in.
+once. Encoding is a narrow step: no shuffle (but for a table of fewer files than task slots, which
+is spread first).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import spread
+
 #: The published split pattern of this tokenizer.
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters of a stretch that is encoded at once, and of a blank run that is encoded by itself.
@@ -113,7 +116,7 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spe
                     held, n, since = [], 0, i + 1
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: TokenizerSpec = TokenizerSpec()) -> DataFrame:
@@ -125,7 +128,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[id_col, "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
+    return spread(df.select(F.col(id_col), F.col(text_col))).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
 
 
 def decoded(df: DataFrame, ids_col: str = "ids", spec: TokenizerSpec = TokenizerSpec()) -> DataFrame:
