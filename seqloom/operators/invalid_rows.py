@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from seqloom.operators.location import is_location
-from seqloom.operators.packed_values import END, START, quoted_parts, restore, skeleton
+from seqloom.operators.packed_values import START, let, only_spans, quoted_parts, restore, skeleton
 
 COLUMNS = ("name", "locus_len", "topology", "division", "definition", "location", "residues")
 ROW = -1
@@ -48,18 +48,16 @@ def location_ok(text: Column) -> Column:
 def parse_lines(df: DataFrame, line: str = "raw_line", row_id: str = "raw_id") -> DataFrame:
     """(row_id, cells, quotes_ok): cells are null where the line is."""
     text = F.regexp_replace(F.col(line), r"\r\z", "")
-    parts = quoted_parts(text)
-    rows = df.select(F.col(row_id).alias("row_id"), parts.alias("parts"))
-    rows = rows.withColumn("raw_cells", F.split(skeleton(F.col("parts")), ",", -1))
-    bare = F.forall(
-        F.col("raw_cells"),
-        lambda c: c.rlike(f"^(?:{START}[0-9]+{END})+$") | ~(c.contains(START) | c.contains('"')),
-    )
-    return rows.select(
-        "row_id",
-        F.transform("raw_cells", lambda c: restore(c, F.col("parts"))).alias("cells"),
-        bare.alias("quotes_ok"),
-    )
+
+    def cells(parts: Column) -> Column:
+        def told(raw: Column) -> Column:
+            bare = F.forall(raw, lambda c: only_spans(c) | ~(c.contains(START) | c.contains('"')))
+            return F.struct(F.transform(raw, lambda c: restore(c, parts)).alias("cells"), bare.alias("quotes_ok"))
+
+        return let(F.split(skeleton(parts), ",", -1), told)
+
+    found = df.select(F.col(row_id).alias("row_id"), let(quoted_parts(text), cells).alias("x"))
+    return found.select("row_id", "x.cells", "x.quotes_ok")
 
 
 def _facts(lines: DataFrame) -> DataFrame:

@@ -26,12 +26,16 @@ _GIVEN = r"\p{Lu}[^\s,.]+(?:[\s\-]+(?!(?:Jr|Sr)\b)(?:\p{Lu}(?!\p{L})\.?|\p{Lu}[^
 _AUTHOR_STRONG = r"\s*[;|]\s*|\s+/\s+|\s*,?\s*&\s*|\s*,?\s+and\s+|,\s*and\s+"
 #: A comma parts authors unless initials or a suffix follow it up to the next delimiter.
 _AUTHOR_COMMA = r",(?!\s*(?:" + _INITIALS + _SUFFIX + r"|(?:Jr|Sr)\b\.?)\s*(?:,|$))"
-#: "Surname, Given" within a segment, alone or several times.
-_PAIR = _SURNAME + r"\s*,\s*" + _GIVEN
-_PAIRS_ONLY = r"^\s*" + _PAIR + r"(?:\s*,\s*" + _PAIR + r")*\s*$"
+#: Tokens of at most so many letters are looked at as a surname or given names.
+_NAME_LETTERS = 200
 _ET_AL = r"[,;]?\s*\bet\.?\s+al\b\.?\s*$"
 #: A comma belongs to a keyword if it parts the digits of a number that starts a word.
-_KEYWORD_DELIMITER = r"[;|\t]|\s/\s|(?<!(?<![\p{L}\p{N}_])\p{N}{1,4}),|,(?!\p{N})"
+_KEYWORD_DELIMITER = r"[;|]|\s/\s|(?<!(?<![\p{L}\p{N}_])\p{N}{1,4}),|,(?!\p{N})"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and give it to ``body``: inside a lambda a plain expression runs for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _protect(text: Column) -> Column:
@@ -58,28 +62,37 @@ def skeleton(parts: Column) -> Column:
 
     A last quote without a partner stays in the skeleton as a plain quote.
     """
-    n = F.size(parts)
 
-    def piece(p: Column, i: Column) -> Column:
-        index = F.concat(F.lit(START), i.cast("string"), F.lit(END))
-        return F.when(i % 2 == 0, p).when(i == n - 1, F.concat(F.lit('"'), p)).otherwise(index)
+    def piece(n: Column):
+        def one(p: Column, i: Column) -> Column:
+            index = F.concat(F.lit(START), i.cast("string"), F.lit(END))
+            return F.when(i % 2 == 0, p).when(i == n - 1, F.concat(F.lit('"'), p)).otherwise(index)
+
+        return one
 
-    return F.array_join(F.transform(parts, piece), "")
+    return let(F.size(parts), lambda n: F.array_join(F.transform(parts, piece(n)), ""))
+
+
+def only_spans(value: Column) -> Column:
+    """Whether nothing stands outside the placeholders. No repeated groups: those overflow the stack on long texts."""
+    return value.rlike(f"^{START}[{START}{END}0-9]*{END}$") & ~value.rlike(f"{END}[0-9]")
 
 
 def restore(value: Column, parts: Column) -> Column:
     """Put the spans back. Quotes that enclose the whole value go, others stay; doubled ones become one."""
-    bits = F.split(value, f"[{START}{END}]", -1)
-    enclosed = value.rlike(f"^(?:{START}[0-9]+{END})+$")
 
-    def bit(b: Column, i: Column) -> Column:
-        span = F.element_at(parts, (F.when(i % 2 == 1, b).otherwise("0")).try_cast("int") + 1)
-        touching = (i > 1) & (F.get(bits, i - 1) == "") & (F.get(bits, i - 2).isNotNull())
-        opening = F.when(enclosed & ~touching, "").otherwise('"')
-        closing = F.when(enclosed | ((F.get(bits, i + 1) == "") & (i + 2 < F.size(bits))), "").otherwise('"')
-        return F.when(i % 2 == 0, b).otherwise(F.concat(opening, span, closing))
+    def joined(bits: Column, enclosed: Column, n: Column) -> Column:
+        def bit(b: Column, i: Column) -> Column:
+            span = F.element_at(parts, (F.when(i % 2 == 1, b).otherwise("0")).try_cast("int") + 1)
+            touching = (i > 1) & (F.get(bits, i - 1) == "")
+            opening = F.when(enclosed & ~touching, "").otherwise('"')
+            closing = F.when(enclosed | ((F.get(bits, i + 1) == "") & (i + 2 < n)), "").otherwise('"')
+            return F.when(i % 2 == 0, b).otherwise(F.concat(opening, span, closing))
+
+        return F.array_join(F.transform(bits, bit), "")
 
-    whole = F.array_join(F.transform(bits, bit), "")
+    cut = F.split(value, f"[{START}{END}]", -1)
+    whole = let(cut, lambda bits: let(only_spans(value), lambda enclosed: let(F.size(bits), lambda n: joined(bits, enclosed, n))))
     return _unprotect(F.when(value.contains(START), whole).otherwise(value))
 
 
@@ -89,29 +102,42 @@ def clean(value: Column) -> Column:
 
 
 def _finish(values: Column, parts: Column) -> Column:
-    trimmed = F.transform(values, lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+$", ""))
-    restored = F.transform(trimmed, lambda v: clean(restore(v, parts)))
+    restored = F.transform(values, lambda v: clean(restore(clean(v), parts)))
     return F.filter(restored, lambda v: v != "")
 
 
 def split_keywords(text: Column) -> Column:
     """Keywords of a field, in order. Null gives null; blank or only a full stop gives an empty array."""
-    parts = quoted_parts(text)
-    bare = F.regexp_replace(skeleton(parts), r"(?U)\s*\.\s*$", "")
-    return _finish(F.split(bare, _KEYWORD_DELIMITER, -1), parts)
+
+    def values(parts: Column) -> Column:
+        bare = clean(F.regexp_replace(skeleton(parts), "\t", ";"))
+        return _finish(F.split(F.regexp_replace(bare, r" ?\.$", ""), _KEYWORD_DELIMITER, -1), parts)
+
+    return let(quoted_parts(text), values)
 
 
 def split_authors(text: Column) -> Column:
     """Author names of a field, in order and as written. Null gives null, blank an empty array."""
-    parts = quoted_parts(text)
-    bare = F.regexp_replace(F.regexp_replace(skeleton(parts), r"(?U)\s+", " "), _ET_AL, "")
-    strong = F.split(bare, _AUTHOR_STRONG, -1)
 
     def names(segment: Column) -> Column:
-        pairs = F.regexp_extract_all(segment, F.lit("(" + _PAIR + ")"), F.lit(1))
-        return F.when(segment.rlike(_PAIRS_ONLY), pairs).otherwise(F.split(segment, _AUTHOR_COMMA, -1))
+        # "Surname, Given" once or several times: surnames at even places, given names at odd ones
+        def fits(t: Column, i: Column) -> Column:
+            own = F.when(i % 2 == 0, t.rlike("^ ?" + _SURNAME + "$")).otherwise(t.rlike("^" + _GIVEN + " ?$"))
+            return (F.length(t) <= _NAME_LETTERS) & own
+
+        def told(tokens: Column) -> Column:
+            paired = (F.size(tokens) % 2 == 0) & F.forall(F.transform(tokens, fits), lambda x: x)
+            firsts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0)), F.lit(2))
+            pairs = F.transform(firsts, lambda i: F.concat(F.get(tokens, i), F.lit(", "), F.get(tokens, i + 1)))
+            return F.when(paired, pairs).otherwise(F.split(segment, _AUTHOR_COMMA, -1))
+
+        return let(F.split(segment, " ?, ?", -1), told)
+
+    def values(parts: Column) -> Column:
+        bare = F.regexp_replace(clean(skeleton(parts)), _ET_AL, "")
+        return _finish(F.flatten(F.transform(F.split(bare, _AUTHOR_STRONG, -1), names)), parts)
 
-    return _finish(F.flatten(F.transform(strong, names)), parts)
+    return let(quoted_parts(text), values)
 
 
 SPLITTERS = {"authors": split_authors, "keywords": split_keywords}
