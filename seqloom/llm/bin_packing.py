@@ -154,7 +154,7 @@ def plan_containers(counts: dict[int, int], capacity: int = CAPACITY) -> list[tu
 
 def split_large(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, size): pieces from 1; only items above the capacity have more than one."""
-    size = F.col(size_col)
+    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     n = F.greatest(F.ceil(size / capacity), F.lit(1)).cast("int")
     cut = items.select(F.col(id_col), size.alias("_whole"), F.explode(F.sequence(F.lit(1), n)).alias("piece"))
     start = (F.col("piece").cast("long") - 1) * capacity
@@ -196,6 +196,6 @@ def assign_containers(items: DataFrame, id_col: str, size_col: str, capacity: in
     out = ranked.join(p, (F.col("size") == F.col("plan_size")) & at_home, "left")
     out = out.withColumn("container_id", F.col("container_from") + F.col("rank") - F.col("rank_from"))
     columns = [id_col, "piece", "start", "size", "container_id", "place"]
-    empty = pieces.where("size IS NULL OR size <= 0").select(id_col, "piece", "start", F.lit(0).cast("long").alias("size"))
+    empty = pieces.where("size <= 0").select(id_col, "piece", "start", F.lit(0).cast("long").alias("size"))
     empty = empty.withColumns({"container_id": F.lit(None).cast("long"), "place": F.lit(None).cast("int")})
     return out.select(*columns).unionByName(empty)

@@ -44,13 +44,13 @@ _BOILERPLATE = re.compile(
     r"|(?:error|fehler|erreur|ошибка|σφάλμα|エラー)\s*\d{3}|\b(?:404|403|500|503)\b.*(?:not found|nothing|error|bitte|page)",
     re.I,
 )
-_LINK = re.compile(r"https?://|www\.\w|<a\s|href=|\[url|\b[a-z0-9\-]{3,}\.(?:com|net|org|info|biz|io|eu|de|fr|es|ru|gr|jp|uk|example|test)\b", re.I)
-_LINK_TEXT = re.compile(r"<a\s[^>]*>.*?</a>|<[^>]*>|\S*(?:https?://|www\.)\S*|\S+\.(?:example|test|com|net|org)\S*", re.I)
+_LINK = re.compile(r"https?://|www\.\w|<a\s|href=|\[url|\b[a-z0-9\-]{3,80}\.(?:com|net|org|info|biz|io|eu|de|fr|es|ru|gr|jp|uk|example|test)\b", re.I)
+_LINK_TEXT = re.compile(r"<a\s[^>]{0,500}>.{0,500}?</a>|<[^>]{0,500}>|(?:https?://|www\.)\S*|\b[\w\-.]{1,80}\.(?:example|test|com|net|org)\S*", re.I)
 _TAG = re.compile(
-    r"^[^.!?:]{2,60}\(\d{1,6}\)$|(?:[$€£¥]\s?\d|\d[\d.,]*\s?(?:€|\$|£|¥|eur\b|usd\b|руб)|\beur\s?\d|-\d+\s?%)|\btags?:\w|#[^\W\d]\w+\s+#[^\W\d]|^#[^\W\d]\w+$|\[[^\]\s]{3,}\]|^\W*(?:sku|art|no|nr|item)\.?\s?\d+\W", re.I
+    r"^[^.!?:]{2,60}\(\d{1,6}\)$|(?:[$€£¥]\s?\d|\d[\d.,]{0,20}\s?(?:€|\$|£|¥|eur\b|usd\b|руб)|\beur\s?\d|-\d{1,9}\s?%)|\btags?:\w|#[^\W\d]\w+\s+#[^\W\d]|^#[^\W\d]\w+$|\[[^\]\s]{3,80}\]|^\W*(?:sku|art|no|nr|item)\.?\s?\d+\W", re.I
 )
 _CODE = re.compile(r"^(?:return|import|from|def|for|if|while|const|let|var|function|class|print)\b.*[()\[\]{}=]")
-_HONEST = re.compile(r"\b\d{1,2}:\d\d\b|^\w+\s*=\s*\S|[;{}]\s*$|\w+\(.*\)\s*;?$|^\s*\d+[.,]?\d*\s?(?:g|kg|mg|ml|l|cl|dl|г|кг|мл|γρ|グラム|tbsp|tsp|cups?|el|tl)\b")
+_HONEST = re.compile(r"\b\d{1,2}:\d\d\b|^\w+\s*=\s*\S|[;{}]\s*$|\w\(.*\)\s*;?$|^\s*\d+[.,]?\d*\s?(?:g|kg|mg|ml|l|cl|dl|г|кг|мл|γρ|グラム|tbsp|tsp|cups?|el|tl)\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _ENDERS = re.compile(r"[.!?。！？…;](?=[\s\"”»’')]|$)|[。！？]")
 _SEPARATORS = (",", "|", "·", "•", "*", ";", "»", "/", ">", "\t", "–", "—", "、", "・", " - ", "  ")

@@ -32,13 +32,15 @@ HEAVY_SHARE = 1 / 4096
 HOT_ROWS, HOT_SHARDS = 200_000, 64
 RARE_RECORDS, COMMON_SHARE = 2, 0.5
 WORD_KEYS = ("product", "note")
+#: White space taken off the ends of a kind.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _COUNT_SCHEMA = "term_class string, term string, record_id long, n long, n_records long"
 
 
 def feature_terms():
     """Array of (term_class, term) of a feature row, as a Column over kind and qualifiers."""
     quals = F.coalesce("qualifiers", F.array().cast("array<struct<key:string,value:string>>"))
-    kind = F.regexp_replace("kind", r"(?U)^\s+|\s+$", "")
+    kind = F.btrim("kind", F.lit(BLANKS))
 
     def term(cls: str, value):
         return F.struct(F.lit(cls).alias("term_class"), value.alias("term"))
