@@ -178,7 +178,7 @@ def test_containers(spark, monkeypatch):
         whole[x.doc_id] += x["size"]
     assert max(load.values()) <= 2048 and whole == Counter({i: n or 0 for i, n in sizes})
     assert len(places) == sum(x.container_id is not None for x in rows) and sorted(load) == list(range(len(load)))
-    assert len(load) <= -(-sum(n or 0 for _, n in sizes) // 2048) + 2
+    assert len(load) <= bin_packing.best_fit_decreasing(Counter(x["size"] for x in rows if x["size"]), 2048)
     assert all(x.piece == 1 for x in rows if dict(sizes)[x.doc_id] is None or dict(sizes)[x.doc_id] <= 2048)
     assert bin_packing.assign_containers(df.limit(0), "doc_id", "n").count() == 0
 
