@@ -76,7 +76,7 @@ _NEAR |= {(b, a) for a, b in _NEAR}
 #: Letters that sound alike.
 _ALIKE = {frozenset(p) for p in ("lr", "bp", "vw", "ck", "dt", "sz", "gk", "gj", "fv", "mn", "iy", "ks", "cs", "kq")}
 #: A numeral only counts as a suffix where a given name is left; else it is initials.
-_SUFFIX = re.compile(r"[,\s]+(?:jr|sr)\.?$", re.I)
+_SUFFIX = re.compile(r"[,\s]+(?:(?:Jr|Sr|jr|sr)\.?|(?:JR|SR)\.)$")  # JR and SR without full stop are initials
 _NUMERAL = re.compile(r"^(\S.*[\s,]\S.*)\s+(?:ii|iii|iv)$", re.I)
 
 

@@ -187,7 +187,7 @@ def test_containers(spark, monkeypatch):
     "name, core, first, given, middle",
     [
         ("Wayidogan,F.S.", "wayidogan", "f", None, "s"), ("de Wayidogan, Anthony", "dewayidogan", "a", "anthony", None), ("A. de Wayidogan", "dewayidogan", "a", None, None),
-        ("Wayidogan FS", "wayidogan", "f", None, "s"), ("Farid S. WAYIDOGÁN Jr.", "wayidogan", "f", "farid", "s"), ("Peggy Abc", "abc", "m", "peggy", None), ("Abc IV", "abc", "i", None, "v"),
+        ("Wayidogan FS", "wayidogan", "f", None, "s"), ("Farid S. WAYIDOGÁN Jr.", "wayidogan", "f", "farid", "s"), ("Peggy Abc", "abc", "m", "peggy", None), ("Abc IV", "abc", "i", None, "v"), ("del Abc SR", "delabc", "s", None, "r"), ("Abc, J. Jr", "abc", "j", None, None),
     ],
 )
 def test_read_person(name, core, first, given, middle):
