@@ -20,7 +20,7 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans that repeat one of an earlier record, with their original offsets."""
+    """Stretches that repeat letters of an earlier record, with their original offsets."""
     return shared_spans.later_copies(table(spark, sf_dir, "records"), cut(p1_found(spark, sf_dir)))
 
 

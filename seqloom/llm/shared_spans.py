@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.session import cut
+from seqloom.session import cut, spread
 
 LENGTH, GRAM, GAP = 80, 24, 10
 BLOCK = 2_000_000
@@ -226,14 +226,61 @@ def shared_share(records: DataFrame, spans: DataFrame) -> DataFrame:
     return out.withColumn("share", F.coalesce(F.try_divide("shared", "letters"), F.lit(0.0)))
 
 
+def _span_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text_id, last_id, residues, spans) to one row for each valid window within the spans."""
+    for batch in batches:
+        for text_id, last_id, residues, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            text = _encode(residues.as_py())
+            for span in spans.as_py():
+                for lo in range(span["span_start"], span["span_end"] - LENGTH + 1, 50_000):
+                    part = text[lo : min(lo + 50_000 + LENGTH - 1, span["span_end"])]
+                    at = np.flatnonzero(valid_windows(np.frombuffer(part, np.uint8)))
+                    digests = [xxhash.xxh3_128_digest(part[p : p + LENGTH]) for p in at.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([text_id] * len(at), pa.int64()), pa.array([last_id] * len(at), pa.int64()), pa.array(at + lo, pa.int64()), pa.array(digests, pa.binary())],
+                        names=["text_id", "last_id", "at", "window"],
+                    )
+
+
+def _islands(pieces: DataFrame) -> DataFrame:
+    """Stretches (record_id, span_start, span_end, kept_in) of a record that overlap or touch, with the smallest ``kept_in``."""
+    order = Window.partitionBy("record_id").orderBy("span_start", "span_end")
+    reach = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = pieces.withColumn("fresh", (reach.isNull() | (F.col("span_start") > reach)).cast("int"))
+    marked = marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = marked.groupBy("record_id", "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.min("kept_in").alias("kept_in"))
+    return out.select("record_id", "span_start", "span_end", "kept_in")
+
+
 def later_copies(records: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans to remove so that each shared letter run stays once: those outside the earliest record that holds them.
+    """Stretches to remove so that each shared letter run stays once; ``spans`` are those of :func:`shared_spans`.
 
-    A span is kept if no earlier record holds the same text; offsets are those of the original.
+    A row is a maximal stretch covered by shared windows that stand in an earlier record (smaller id), however
+    long the spans around them are. Where the earliest record repeats a shared window, its first place stays and
+    the others go, but for letters that first places cover. ``kept_in`` is the earliest record that holds a
+    window of the stretch; offsets are those of the original.
     """
-    cutout = spans.join(records.select("record_id", "residues").dropDuplicates(["record_id"]), "record_id")
-    cutout = cutout.withColumn("digest", F.sha2(F.expr("substring(residues, span_start + 1, span_end - span_start)"), 256)).drop("residues")
-    keepers = cutout.groupBy("digest").agg(F.min(F.struct("record_id", "span_start")).alias("keeper"))
-    marked = cutout.join(keepers, "digest")
-    is_first = (F.col("record_id") == F.col("keeper.record_id")) & (F.col("span_start") == F.col("keeper.span_start"))
-    return marked.where(~is_first).select("record_id", "span_start", "span_end", F.col("keeper.record_id").alias("kept_in"))
+    texts = records.select("record_id", "residues").where(F.length("residues") >= LENGTH).join(spans.select("record_id").distinct(), "record_id", "left_semi")
+    keyed = texts.withColumn("text_key", F.sha2("residues", 256))
+    heads = keyed.groupBy("text_key").agg(F.min("record_id").alias("text_id"), F.max("record_id").alias("last_id"))
+    listed = spans.groupBy("record_id").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
+    first = keyed.join(heads, "text_key").where("record_id = text_id").dropDuplicates(["record_id", "residues"]).join(listed, "record_id")
+    windows = cut(spread(first.select("text_id", "last_id", "residues", "spans")).mapInArrow(_span_windows, "text_id long, last_id long, at long, window binary"))
+    owners = windows.groupBy("window").agg(F.min(F.struct("text_id", "at")).alias("first"), F.max("last_id").alias("last_id"))
+    owners = owners.where(F.col("first.text_id") != F.col("last_id")).select("window", F.col("first.text_id").alias("kept_in"), F.col("first.at").alias("first_at"))
+    held = cut(windows.drop("last_id").join(owners, "window").select(F.col("text_id").alias("record_id"), "at", "kept_in", "first_at"))
+    end = F.col("at") + LENGTH
+    earlier = _islands(held.where("kept_in < record_id").select("record_id", F.col("at").alias("span_start"), end.alias("span_end"), "kept_in"))
+    # a window repeated within its earliest record, without the letters of the first places around it
+    own = held.where("kept_in = record_id")
+    repeating = own.where("at > first_at").select("record_id").distinct()
+    place, order = F.when(F.col("at") == F.col("first_at"), F.col("at")), Window.partitionBy("record_id")
+    before = F.last(place, ignorenulls=True).over(order.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(place, ignorenulls=True).over(order.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1))
+    own = own.join(repeating, "record_id", "left_semi").withColumns({"before": before, "after": after}).where("at > first_at")
+    own = own.select("record_id", F.greatest("at", F.col("before") + LENGTH).alias("span_start"), F.least(end, "after").alias("span_end"), "kept_in").where("span_start < span_end")
+    # all of a whole text held by an earlier record goes; stretches that stand still earlier tell where
+    copies = keyed.join(heads, "text_key").where("record_id > text_id").select("record_id", "text_id").distinct()
+    whole = spans.join(copies, "record_id").select("record_id", "span_start", "span_end", F.col("text_id").alias("kept_in"))
+    stands = earlier.withColumnRenamed("record_id", "text_id").join(copies, "text_id").select("record_id", "span_start", "span_end", "kept_in")
+    return _islands(earlier.unionByName(own).unionByName(whole).unionByName(stands))

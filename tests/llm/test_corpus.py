@@ -55,6 +55,49 @@ def test_shared_spans_equal_brute_force(spark):
     assert shared_spans.shared_spans(df.limit(0)).count() == 0
 
 
+def brute_copies(rows, width=80):
+    """Stretches to remove by comparing all windows; rows in order of their ids, one for each."""
+    held, out = defaultdict(list), set()
+    for i, x in rows:
+        for p in range(len(x or "") - width + 1):
+            if not re.search("[nN]{10}", x[p : p + width]):
+                held[x[p : p + width]].append((i, p))
+    for i, x in rows:
+        gone, firsts, own, kept = set(), set(), set(), {}
+        for p in range(len(x or "") - width + 1):
+            places = held.get(x[p : p + width])
+            if not places or len({j for j, _ in places}) == 1:
+                continue
+            letters = range(p, p + width)
+            target = gone if places[0][0] < i else firsts if places[0][1] == p else own
+            target.update(letters)
+            for q in letters if target is not firsts else ():
+                kept[q] = min(kept.get(q, i), places[0][0])
+        todo = sorted(gone | (own - firsts))
+        cuts = [k for k, q in enumerate(todo) if not k or todo[k - 1] != q - 1] + [len(todo)]
+        for a, b in zip(cuts, cuts[1:]):
+            out.add((i, todo[a], todo[b - 1] + 1, min(kept[q] for q in todo[a:b])))
+    return out
+
+
+def test_later_copies_equal_brute_force(spark):
+    r = random.Random(9)
+    letters = "".join(r.choice("acgt") for _ in range(2500))
+    rows = [(1, letters[:400]), (2, letters[300:700]), (3, letters[100:600]), (4, letters[100:600])]  # 3 is covered by 1 and 2, its span is equal to none of theirs
+    rows += [(5, "ccc" + letters[50:250] + "t" * 9 + letters[350:380] + "g" + letters[1000:1200]), (6, letters[900:1300]), (7, letters[900:1300] + "n" * 12 + letters[1000:1150])]
+    rows += [(8, letters[1500:1700] + "acca" + letters[1500:1650] + "tggt" + letters[1520:1700]), (9, "gg" + letters[1450:1720]), (10, "a" * 300), (11, "a" * 200), (12, "acgtgca" * 60), (13, "acgtgca" * 40), (14, letters[100:600])]
+    for i in range(15, 45):
+        a, b = r.randrange(2300), r.randrange(2300)
+        rows.append((i, letters[a : a + r.randrange(60, 400)] + letters[b : b + r.randrange(60, 300)]))
+    rows += [(45, None), (46, "")]
+    df = spark.createDataFrame(rows, "record_id long, residues string").repartition(5)
+    got = [tuple(x) for x in shared_spans.later_copies(df, shared_spans.shared_spans(df)).collect()]
+    assert len(got) == len(set(got)) and {x[:3] for x in got} == {x[:3] for x in brute_copies(rows)}
+    assert set(got) == brute_copies(rows)
+    twice = df.union(df)
+    assert {tuple(x) for x in shared_spans.later_copies(twice, shared_spans.shared_spans(twice)).collect()} == set(got)
+
+
 def test_blocks_do_not_matter(monkeypatch):
     r = random.Random(1)
     text = "".join(r.choice("acgt") for _ in range(1500)).encode()
