@@ -42,8 +42,10 @@ def relocate_column(df: DataFrame, text: str, shift: Column, length: Column, cir
     by = F.when(circular, F.pmod(shift, length)).otherwise(shift)
     out = _easy(df, text).withColumn("_by", by).withColumn("_moved", native.shift_simple("_loc", "_by"))
     shown = F.when(circular, native.wrapped_simple("_moved", length)).otherwise(native.format_simple("_moved"))
-    general = gb_relocate("_rest", shift, length, circular)
-    return out.withColumn(text, F.coalesce(F.when(F.col("_loc").isNotNull(), shown), general)).drop("_loc", "_rest", "_by", "_moved")
+    # ranges of more than a lap past the end of a circle have no native form
+    out = out.withColumn("_shown", F.when(F.col("_loc").isNotNull(), shown))
+    general = gb_relocate(F.when(F.col("_shown").isNull(), F.col(text)), shift, length, circular)
+    return out.withColumn(text, F.coalesce("_shown", general)).drop("_loc", "_rest", "_by", "_moved", "_shown")
 
 
 def reverse_column(df: DataFrame, text: str, length: Column) -> DataFrame:

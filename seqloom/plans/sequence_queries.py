@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import native
-from seqloom.functions.location_udf import bounds, gb_format_location, gb_parse_location
+from seqloom.functions.location_udf import bounds, gb_format_location, gb_parse_location, gb_segments
 from seqloom.operators import records as ops
 from seqloom.operators import statistics as stats
 from seqloom.operators.regions import merge_spans, overlap_join
@@ -148,6 +148,77 @@ def merged_spans(spark, sf_dir):
     return merge_spans(spans, ["record_id"])
 
 
+# The same over features of every kind of location, for which SQL has no form: each name ends in _all.
+
+
+def _all_on_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature with its record; ``n`` is the number of residues, without residues the declared length, else null."""
+    size = F.coalesce(F.nullif(F.length("residues").cast("long"), F.lit(0)), F.when(F.col("locus_len") > 0, F.col("locus_len")))
+    r = _records(spark, sf_dir).select("record_id", "residues", size.alias("n"), ops.is_circular().alias("circular"))
+    return _features(spark, sf_dir).select("feature_id", "record_id", "location_gb").join(r, "record_id")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stretch [f_start, f_end) of its own record that a feature stands on; repeated rows count once.
+
+    Letters between the parts of a list don't belong to it, so lists that run over the origin or backwards need no
+    special case. A place between letters stands on both; whole gaps and parts of other records on nothing here.
+    """
+
+    def stretches(leaf):
+        a, b = leaf["start"], leaf["end"]
+        span = lambda x, y: F.struct(x.alias("f_start"), y.alias("f_end"))
+        around = F.array(span(a, a + 1), span(b, b + 1))
+        return F.when(leaf["kind"] == "range", F.array(span(a, b))).when(b == a + 1, F.array(span(a, b + 1))).otherwise(around)
+
+    rows = _features(spark, sf_dir).dropDuplicates(["feature_id"]).select("feature_id", "record_id", "location_gb", native.parse_simple("location_gb").alias("loc"))
+    rows = rows.withColumn("leaves", gb_segments(F.when(F.col("loc").isNull(), F.col("location_gb"))))
+    own = F.filter("leaves", lambda x: x["accession"].isNull() & x["kind"].isin("range", "between"))
+    simple = F.array(F.struct(F.col("loc.start").alias("f_start"), F.col("loc.end").alias("f_end")))
+    parts = F.when(F.col("loc").isNotNull(), simple).otherwise(F.flatten(F.transform(own, stretches)))
+    return rows.select("feature_id", "record_id", "location_gb", F.explode(parts).alias("p")).select("feature_id", "record_id", "location_gb", "p.*")
+
+
+def truncated_locations_all(spark, sf_dir):
+    rows = spread(_features(spark, sf_dir).select("feature_id", "location_gb"))
+    cut = ops.truncate_column(rows, "location_gb", F.lit(100), F.lit(500))
+    return cut.where("location_gb IS NOT NULL").select("feature_id", F.col("location_gb").alias("location"))
+
+
+def moved_locations_all(spark, sf_dir):
+    """Null where a circle has no known length."""
+    shift, length = F.col("record_id") % 500 - 250, F.when(F.col("circular"), F.col("n")).otherwise(F.coalesce("n", F.lit(0)))
+    moved = ops.relocate_column(_all_on_records(spark, sf_dir).drop("residues"), "location_gb", shift, length, F.col("circular"))
+    return moved.select("feature_id", F.col("location_gb").alias("location"))
+
+
+def reversed_locations_all(spark, sf_dir):
+    """Null where the record has no known length."""
+    turned = ops.reverse_column(_all_on_records(spark, sf_dir).drop("residues"), "location_gb", F.col("n"))
+    return turned.select("feature_id", F.col("location_gb").alias("location"))
+
+
+def feature_residues_all(spark, sf_dir):
+    """Letters within the feature's own record, or why there are none; location_residues fetches other records."""
+    return ops.extract_column(_all_on_records(spark, sf_dir), "location_gb", "residues").select("feature_id", "letters", "error")
+
+
+def region_overlap_all(spark, sf_dir):
+    """One row for each part of a location in a region."""
+    hits = overlap_join(_regions(spark, sf_dir), _parts(spark, sf_dir).drop("location_gb"), "record_id", ("start", "end"), ("f_start", "f_end"), 4096)
+    return hits.select("record_id", "start", "feature_id", "f_start", "f_end")
+
+
+def region_features_all(spark, sf_dir):
+    """One row for each feature in a region, however many of its parts lie there."""
+    regions = _regions(spark, sf_dir).withColumn("region_id", F.col("start"))
+    return ops.extract_regions(_parts(spark, sf_dir), regions, 4096).distinct()
+
+
+def merged_spans_all(spark, sf_dir):
+    return merge_spans(_parts(spark, sf_dir).select("record_id", F.col("f_start").alias("start"), F.col("f_end").alias("end")), ["record_id"])
+
+
 def locus_lines(spark, sf_dir):
     r = _records(spark, sf_dir)
     length = F.coalesce(F.col("locus_len"), F.length("residues").cast("long"), F.lit(0))
@@ -255,7 +326,8 @@ QUERIES = {
     for f in (
         revcomp_residues, residue_composition, record_lengths, unwrapped_ranges, range_residues, range_locations, rotated_residues, simple_locations,
         location_round_trip, list_bounds, truncated_locations, moved_locations, reversed_locations, feature_residues, segment_counts, external_lookup,
-        location_residues, region_overlap, region_features, merged_spans, locus_lines, locus_parsed, date_texts, origin_blocks, scanned_residues,
+        location_residues, region_overlap, region_features, merged_spans, truncated_locations_all, moved_locations_all, reversed_locations_all,
+        feature_residues_all, region_overlap_all, region_features_all, merged_spans_all, locus_lines, locus_parsed, date_texts, origin_blocks, scanned_residues,
         fasta_texts, source_totals, kind_frequency, key_frequency, frequent_kinds, frequent_keys, product_values, written_and_read, reversed_records,
         rotated_records, record_regions, cds_fasta, repaired_bodies,
     )

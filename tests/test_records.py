@@ -9,6 +9,7 @@ from seqloom.operators import location as loc
 from seqloom.operators import records as ops
 from seqloom.operators import statistics as stats
 from seqloom.operators.regions import merge_adjacent_segments, merge_spans, overlap_join
+from seqloom.plans import sequence_queries as plans
 
 RECORD = "record_id long, name string, accession string, version string, topology string, locus_len long, residues string, features " + ops.SIMPLE_FEATURE
 
@@ -139,3 +140,55 @@ def test_statistics(spark):
     f = spark.createDataFrame([("x", [("k", None), ("k", "1")]), ("x", None), ("y", [])], f"kind string, {quals}")
     assert {tuple(r) for r in stats.key_frequency(f).collect()} == {("k", 2)}
     assert {tuple(r) for r in stats.kind_frequency(f).collect()} == {("x", 2), ("y", 1)}
+
+
+def test_queries_over_every_location(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(1, "circular", None, 1200), (2, "linear", 2300, 2300), (3, "circular", 900, 0), (4, "linear", None, None), (5, "circular", None, None), (6, "linear", 50, 600)]
+    records = {i: (top, declared, n and "".join(r.choice("acgt") for _ in range(n)) or (None if n is None else "")) for i, top, declared, n in rows}
+    texts = ["join(1..10,1100..1200)", "join(1150..1200,1..30)", "complement(join(50..60,400..510))", "order(<5..120,300..>700)", "one-of(20,150..160)", "bond(12,450)", "120^121", "1200^1", "join(complement(500..520),complement(90..110))",
+             "X1:5..9", "join(1..5,X1:7..9,200..210)", "gap(10)", "join(3..9,gap(5),480..499)", "7..300", "complement(<40..90)", "1..2000", None, "nothing("]
+    features = [(100 * i + k, i, t) for i in records for k, t in enumerate(texts)] + [(100, 1, texts[0])]
+    spark.createDataFrame([(i, x[2], x[0], x[1]) for i, x in records.items()], "record_id long, residues string, topology string, locus_len long").write.parquet(f"{tmp_path}/records.parquet")
+    spark.createDataFrame(features, "feature_id long, record_id long, location_gb string").write.parquet(f"{tmp_path}/features.parquet")
+
+    def tried(fn, *args):
+        try:
+            out = fn(*args)
+            return loc.format_location(out) if isinstance(out, tuple) else out
+        except loc.LocationError:
+            return None
+
+    def got(name):
+        return sorted(map(repr, (tuple(x) for x in plans.QUERIES[name](spark, str(tmp_path)).collect())))
+
+    cut, moved, turned, letters = [], [], [], []
+    for f, i, t in features:
+        top, declared, text = records[i]
+        n, x = len(text or "") or declared, loc.parse_location(t) if t else None
+        part = x and tried(loc.truncate, x, 100, 500)
+        cut += [(f, part)] if part else []
+        moved.append((f, x and (n or top == "linear") and tried(loc.relocate, x, i % 500 - 250, n or 0, top == "circular") or None))
+        turned.append((f, x and n and tried(loc.reverse_complement, x, n) or None))
+        letters.append((f, x and text is not None and tried(loc.extract, x, text) or None))
+    assert got("truncated_locations_all") == sorted(map(repr, cut))
+    assert got("moved_locations_all") == sorted(map(repr, moved))
+    assert got("reversed_locations_all") == sorted(map(repr, turned))
+    assert sorted(repr((x.feature_id, x.letters or None)) for x in plans.feature_residues_all(spark, str(tmp_path)).collect()) == sorted(map(repr, letters))
+
+    overlap, inside, covered = set(), set(), {}
+    for f, i, t in dict.fromkeys(features):
+        x = loc.parse_location(t) if t else None
+        for accession, kind, a, b, _ in loc.leaves(x) if x else ():
+            if accession is None and kind in ("range", "between"):
+                pieces = [(a, b)] if kind == "range" else [(a, b + 1)] if b == a + 1 else [(a, a + 1), (b, b + 1)]
+                for s, e in pieces:
+                    covered.setdefault(i, set()).update(range(s, e))
+                    for at in range(0, len(records[i][2] or ""), 1000):
+                        if s < at + 1000 and at < e:
+                            overlap.add((i, at, f, s, e))
+                            inside.add((i, at, f, loc.format_location(loc.truncate(loc.relocate(x, -at, 0, False), 0, 1000))))
+    assert got("region_overlap_all") == sorted(map(repr, overlap))
+    assert got("region_features_all") == sorted(map(repr, inside))
+    merged = {(x.record_id, x.start, x.end) for x in plans.merged_spans_all(spark, str(tmp_path)).collect()}
+    assert {i: {q for j, a, b in merged if j == i for q in range(a, b)} for i in covered} == covered and len({(i, a) for i, a, _ in merged}) == len(merged)
