@@ -38,8 +38,6 @@ LEAST_CORE = 5
 TYPO_ODDS = 10.0
 #: Likelihood of one edit by its kind.
 EDIT_LIKELIHOOD = {"swap": 0.3, "double": 0.3, "drop": 0.2, "add": 0.2, "near_key": 0.2, "alike": 0.2, "vowel": 0.2, "other": 0.02}
-#: Steps along which a variant of a variant is followed: 2 ** ROUNDS.
-ROUNDS = 3
 
 # Common English short forms and the names they stand for.
 NICKNAMES = {
@@ -308,9 +306,12 @@ def core_links(profiles: DataFrame) -> DataFrame:
     fits = pairs.where((F.col("p") > 0) & (F.col("root_n") * F.col("p") * TYPO_ODDS >= F.col("n")))
     best = fits.groupBy("field", "sig", "core").agg(F.max_by("root", F.struct(F.col("root_n") * F.col("p"), "root")).alias("root"))
     links = cut(best)
-    for _ in range(ROUNDS):
+    # links lead to ever more frequent cores, so doubling ends with the last core that has one above its root
+    while True:
         up = links.select("field", "sig", F.col("core").alias("root"), F.col("root").alias("above"))
-        links = links.join(up, ["field", "sig", "root"], "left").select("field", "sig", "core", F.coalesce("above", "root").alias("root"))
+        if links.join(up, ["field", "sig", "root"], "left_semi").isEmpty():
+            break
+        links = cut(links.join(up, ["field", "sig", "root"], "left").select("field", "sig", "core", F.coalesce("above", "root").alias("root")))
     return links
 
 

@@ -266,6 +266,14 @@ def test_variant_pairs(spark):
     assert name_variants.variant_pairs(name_variants.name_entities(df.limit(0))).count() == 0
 
 
+def test_long_chains_have_one_root(spark):
+    cores = ["abcdefghijklmnopqrstuvwxyz"[:n] for n in range(26, 5, -1)]
+    df = spark.createDataFrame([("authors", "a", c, 1000.0 - i) for i, c in enumerate(cores)], "field string, sig string, core string, n double")
+    links = {x.core: x.root for x in name_variants.core_links(df).collect()}
+    assert links == dict.fromkeys(cores[1:], cores[0])
+    assert name_variants.core_links(df.limit(0)).count() == 0
+
+
 def test_stuffed_pages(spark):
     prose = "The old mill was opened by the council in the spring. It rained all day, and the river was not measured. " * 6
     pages = {
