@@ -137,7 +137,7 @@ def extract_range(records: DataFrame, start: Column, end: Column) -> DataFrame:
     ``records`` has. Regions out of range give a row with null residues and ``_error``.
     """
     n, around = length_of(), is_circular()
-    at = native.unwrap_range(start.cast("long"), end.cast("long"), n, around)
+    at = F.when(n.isNotNull(), native.unwrap_range(start.cast("long"), end.cast("long"), n, around))
     marked = records.withColumn("_at", at)
     shift = F.when(around, F.pmod(-F.col("_at.start"), n)).otherwise(-F.col("_at.start"))
 
@@ -149,10 +149,11 @@ def extract_range(records: DataFrame, start: Column, end: Column) -> DataFrame:
     out = _map_features(marked, within, [shift, n, around, F.col("_at.end") - F.col("_at.start")])
     letters = native.extract_range_seq("residues", start.cast("long"), end.cast("long"), around)
     keep = [c for c in ("record_id", "_source_file", "_record_idx") if c in records.columns]
+    # a declared length that differs from the number of residues has no range
     error = F.when(F.col("_at").isNull(), "region out of range")
     return out.select(
         *keep, F.lit(None).cast("string").alias("name"), F.lit("linear").alias("topology"), F.lit("UNK").alias("division"), F.lit(None).cast("long").alias("locus_len"),
-        letters.alias("residues"), "features", "_warnings", error.alias("_error"),
+        F.when(F.col("_at").isNotNull(), letters).alias("residues"), "features", "_warnings", error.alias("_error"),
     )
 
 

@@ -284,29 +284,39 @@ def _nested(spark, sf_dir, columns=("name", "topology", "locus_len", "residues",
     return out.withColumn("features", F.coalesce("features", F.array().cast(ops.SIMPLE_FEATURE)))
 
 
-def written_and_read(spark, sf_dir):
-    """Records written as flat-file text and parsed again."""
-    rows = _nested(spark, sf_dir).where("length(residues) > 0 AND residues RLIKE '^[A-Za-z]+$'")
-    full = rows.withColumn("locus_len", F.length("residues").cast("long")).withColumn(
+def _write_and_read(rows: DataFrame) -> DataFrame:
+    full = rows.withColumn("locus_len", F.when(F.length("residues") > 0, F.length("residues").cast("long")).otherwise(F.col("locus_len"))).withColumn(
         "features", F.transform("features", lambda x: F.struct(x["kind"].alias("kind"), F.lit(None).cast("array<struct<op:string,parent:int,start:bigint,end:bigint,before:boolean,after:boolean,accession:string,gap_kind:string,gap_len:bigint>>").alias("location"), x["location_gb"].alias("location_gb"), x["qualifiers"].alias("qualifiers")))
     )
     read = full.select("record_id", F.explode(parse_genbank(to_genbank(full))).alias("x"))
     return read.select("record_id", "x.residues", F.size("x.features").alias("n_features"), F.col("x._error").alias("error"))
 
 
+def written_and_read(spark, sf_dir):
+    """Records with plain residues written as flat-file text and parsed again."""
+    return _write_and_read(_nested(spark, sf_dir).where("length(residues) > 0 AND residues RLIKE '^[A-Za-z]+$'"))
+
+
+def written_and_read_all(spark, sf_dir):
+    """Every record written and parsed again, those without residues too."""
+    return _write_and_read(_nested(spark, sf_dir))
+
+
 def reversed_records(spark, sf_dir):
-    out = ops.revcomp_records(_nested(spark, sf_dir).where("length(residues) > 0"))
-    return out.select("record_id", F.length("residues").alias("letters"), F.size("features").alias("n_features"))
+    """Every record; without a known length its features are dropped with a warning."""
+    out = ops.revcomp_records(_nested(spark, sf_dir))
+    return out.select("record_id", F.length("residues").alias("letters"), F.size("features").alias("n_features"), F.md5("residues").alias("digest"))
 
 
 def rotated_records(spark, sf_dir):
-    out = ops.set_origin(_nested(spark, sf_dir).where("topology = 'circular' AND length(residues) > 0 AND locus_len = length(residues)"), F.col("record_id") % 997)
-    return out.select("record_id", F.substring("residues", 1, 60).alias("head"), F.size("features").alias("n_features"), "_warnings")
+    """Every record; linear and empty ones and those whose declared length differs aren't rotated."""
+    out = ops.set_origin(_nested(spark, sf_dir), F.col("record_id") % 997)
+    return out.select("record_id", F.substring("residues", 1, 60).alias("head"), F.md5("residues").alias("digest"), F.size("features").alias("n_features"), "_warnings")
 
 
 def record_regions(spark, sf_dir):
-    rows = _nested(spark, sf_dir).where("length(residues) >= 200 AND locus_len = length(residues)")
-    out = ops.extract_range(rows, F.lit(50), F.lit(150))
+    """Letters 50 to 150 of every record; those that have no such region give an error."""
+    out = ops.extract_range(_nested(spark, sf_dir), F.lit(50), F.lit(150))
     return out.select("record_id", "residues", F.size("features").alias("n_features"), "_error")
 
 
@@ -328,7 +338,7 @@ QUERIES = {
         location_round_trip, list_bounds, truncated_locations, moved_locations, reversed_locations, feature_residues, segment_counts, external_lookup,
         location_residues, region_overlap, region_features, merged_spans, truncated_locations_all, moved_locations_all, reversed_locations_all,
         feature_residues_all, region_overlap_all, region_features_all, merged_spans_all, locus_lines, locus_parsed, date_texts, origin_blocks, scanned_residues,
-        fasta_texts, source_totals, kind_frequency, key_frequency, frequent_kinds, frequent_keys, product_values, written_and_read, reversed_records,
+        fasta_texts, source_totals, kind_frequency, key_frequency, frequent_kinds, frequent_keys, product_values, written_and_read, written_and_read_all, reversed_records,
         rotated_records, record_regions, cds_fasta, repaired_bodies,
     )
 }

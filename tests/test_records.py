@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -192,3 +193,30 @@ def test_queries_over_every_location(spark, tmp_path):
     assert got("region_features_all") == sorted(map(repr, inside))
     merged = {(x.record_id, x.start, x.end) for x in plans.merged_spans_all(spark, str(tmp_path)).collect()}
     assert {i: {q for j, a, b in merged if j == i for q in range(a, b)} for i in covered} == covered and len({(i, a) for i, a, _ in merged}) == len(merged)
+
+
+def test_record_queries_take_every_record(spark, tmp_path):
+    text = "".join(random.Random(3).choice("acgt") for _ in range(300))
+    rows = [(1, "circular", 300, text), (2, "circular", None, text), (3, "linear", 300, text), (4, "circular", 250, text), (5, "circular", None, ""), (6, "linear", 900, None), (7, None, None, None), (8, "linear", None, text[:120])]
+    records = [(i, f"n{i}", top, n, x, f"A{i}", f"A{i}.1", "d", "SYN", "DNA", (2000, 1, 1)) for i, top, n, x in rows]
+    types = "record_id long, name string, topology string, locus_len long, residues string, accession string, version string, definition string, division string, molecule_type string, date struct<year:int,month:int,day:int>"
+    spark.createDataFrame(records, types).write.parquet(f"{tmp_path}/records.parquet")
+    features = [(i, i, 0, "CDS", "61..90", [("gene", "x")]) for i, *_ in rows]
+    spark.createDataFrame(features, "feature_id long, record_id long, feature_idx int, kind string, location_gb string, qualifiers array<struct<key:string,value:string>>").write.parquet(f"{tmp_path}/features.parquet")
+
+    def run(name):
+        return {x.record_id: x for x in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+
+    def digest(x):
+        return None if x is None else hashlib.md5(x.encode()).hexdigest()
+
+    turned = run("reversed_records")
+    assert {i: x.digest for i, x in turned.items()} == {i: digest(x and loc.revcomp_text(x)) for i, _, _, x in rows}
+    assert {i: x.n_features for i, x in turned.items()} == {i: 0 if i == 4 else 1 for i, *_ in rows}
+    rotated = run("rotated_records")
+    assert {i: x.digest for i, x in rotated.items()} == {i: digest(x[i:] + x[:i] if i in (1, 2) else x) for i, _, _, x in rows}
+    regions = run("record_regions")
+    assert {i: x.residues for i, x in regions.items()} == {i: x[50:150] if i in (1, 2, 3) else None for i, _, _, x in rows}
+    assert all(regions[i]._error for i in (4, 5, 7, 8)) and not any(regions[i]._error for i in (1, 2, 3))
+    read = run("written_and_read_all")
+    assert {i: (x.residues or "", x.n_features, x.error) for i, x in read.items()} == {i: (x or "", 1, None) for i, _, _, x in rows}
