@@ -43,7 +43,10 @@ class LocationError(ValueError):
 
 
 def _int(text: str) -> int | None:
-    value = int(text)
+    digits = text.lstrip("+-").lstrip("0")
+    if len(digits) > 19:  # beyond 64 bits; int() refuses texts of thousands of digits
+        return None
+    value = int(digits or "0") * (-1 if text[0] == "-" else 1)
     return value if -_I64 <= value < _I64 else None
 
 

@@ -170,3 +170,9 @@ def test_rotations_and_double_complements_are_undone():
             assert loc.extract(twice, LETTERS * 3) == loc.extract(x, LETTERS * 3)
         except LocationError as e:
             assert e.code == "ambiguous"
+
+
+def test_numbers_of_thousands_of_digits():
+    assert not loc.is_location("1.." + "9" * 5000) and loc.is_location("1.." + "0" * 5000 + "7")
+    assert loc.parse_location("0" * 5000 + "1..-3") == ("range", 0, -3, False, False)
+    assert loc.is_location(str(2**63 - 1)) and not loc.is_location(str(2**63)) and loc.is_location(str(-(2**63)))
