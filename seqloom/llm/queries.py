@@ -64,13 +64,13 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letters by kind of matter and the measures of every page with text."""
+    """Class, measures, thresholds and decision of every page with text."""
     documents = table(spark, sf_dir, "documents")
-    return spam_pages.page_measures(documents, spam_pages.calibrate(documents))
+    return spam_pages.judged(cut(spam_pages.page_measures(documents, spam_pages.learn(documents))))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam_pages.stuffed_pages(p10_measures(spark, sf_dir)).select("doc_id")
+    return p10_measures(spark, sf_dir).where("stuffed").select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_share, p1_later_copies, p3_counts, p3_found, p4_found, p4_page_pieces, p7_entities, p7_found, p8_ids, p9_containers, p10_measures, p10_found)}

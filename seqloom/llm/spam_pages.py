@@ -1,17 +1,32 @@
 """Keyword-stuffed and link-list pages.
 
-Method: thresholds on top-word and repeated-word shares, duplicate-line share, link-text ratio,
-separator density and missing function words, calibrated per language. The share of function words
-in sure sentences of each language is measured over the whole corpus first; a line counts as
-prose if it comes near to that.
-
-Each line of a page is boilerplate (menu, cookie notice, footer, error message), prose, other honest
-matter (timetables, code, recipes) or stuffing; lines without evidence either way are left out
-of account, as menus and titles are. A page is found if stuffing is more than half of what counts.
-
-The work is one narrow step over the pages (and one before it for the calibration, whose result has
-one row for each language); nothing is shuffled but partial sums. Null, blank and empty texts, and
-pages without countable lines, are never found. Repeated rows give repeated results.
+Method: thresholds on top-word and n-gram shares, duplicate-line share, link-text ratio, separator density
+and missing function words, calibrated per language. No word of any language is listed here; all is
+learned from the corpus:
+
+1. ``learn``: one counting step over all pages. The function words of a language are its most frequent
+   words that stand in a third of its pages, up to two fifths of all its words. Menus and notices are
+   the items and lines that many pages repeat.
+2. ``page_measures``: one step that reads each page once. Lines that repeat over many pages are left out,
+   lines of sentences make the honest part, and all the rest is measured: shares of its most frequent word, of
+   repeated pairs and triples of words, of repeated segments, of letters in links, of segments shaped like
+   product tags, separators a word, function words.
+3. ``thresholds``: quantiles of the same measures over the sentences of each language; ``stuffed_pages``
+   compares columns with columns. A page is found if the rest is longer than its sentences and one measure of the
+   rest is beyond its threshold, or if one word is repeated in its different sentences beyond measure.
+
+A language is the class of pages with its declared code; a page belongs to the class whose function words it
+holds most of, else to the declared one. Classes of under ``LEAST_PAGES`` pages, and pages in
+languages of no class, are judged without function words: there a line is a sentence by its shape.
+UTF-8 that was read in another charset is repaired first.
+
+Scale: both steps over pages are narrow; only partial sums are shuffled. Each task sends the words that make
+at least 1/1000 of its words of a class, so a share is at most 0.1 points too low. At most ``MOST_WORDS``
+words and lines of each class (a code of two or three letters) reach the driver. Measures are cut
+(checkpointed) once, a row of numbers for each page.
+
+Defined cases: null, blank and empty texts give no row, and are never found; repeated rows give repeated
+results; tables of other numbers (timetables, recipes, code) are no stuffing without tags or links.
 """
 
 from __future__ import annotations
@@ -21,90 +36,52 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.session import spread
 
-# Words that sentences need and keyword lists do without.
-FUNCTION_WORDS = {
-    "en": "the a an of and to is was were that by be or but for on at has had have been our my some this each if until while because before after as will not i we it its they which who would could so than then",
-    "de": "der die das den dem des ein eine einen und ist war wurde wurden haben hat hatte nach von zu im am an auf nicht noch ob weiß wird werden danach zuerst wir während mit bei sich",
-    "fr": "le la les un une des du de et est été a ont par que qui dans sur ne jamais selon pourquoi on avait sont il elle nous encore",
-    "es": "el la los las un una de del y fue fueron ha han que según por nunca si al se es son ha sido porque cuando sigue",
-    "ru": "и в был была было были за по на не что с как из для словам после от это он она они мы",
-    "el": "το τα ο η οι του της των και με από στο στη στην είναι ήταν σύμφωνα πριν δεν που την τον",
+#: A class needs so many pages, and function words are chosen up to this share of its words.
+LEAST_PAGES, COVERAGE = 20, 0.4
+#: Shares of a class's pages in which a function word, a menu word, a repeated line stands.
+FUNCTION_PAGES, MENU_PAGES, LINE_PAGES = 1 / 3, 0.1, 0.05
+MOST_WORDS = 300
+#: A task sends what makes at least this share of its words or pages of a class.
+SENT_SHARE = 1 / 1000
+#: Part of ``COVERAGE`` that a line of sentences, and a page of the class, has at least.
+SENTENCE_PART = 3 / 8
+#: Share of words of one to three letters that sentences of an unknown language have.
+SHORT_WORDS = 0.2
+LEAST_SENTENCE, LONGEST_OPEN, LEAST_WORDS = 4, 60, 25
+LONG_SENTENCE, DIFFERENT_WORDS = 6, 0.6
+MOST_SEPARATORS, MENU_ITEM_WORDS, MENU_PART = 0.25, 3, 0.6
+#: Letters that one product tag stands for at most.
+TAG_LETTERS = 25
+#: A rest is data, if it has neither links nor tags, where so many words hold digits or so many letters stand in short lines that begin with an amount.
+DATA_SHARE, AMOUNT_SHARE, AMOUNT_WORDS = 0.25, 0.4, 8
+
+#: Measures of stuffing: the quantile of a language's sentences and the least threshold.
+LIMITS = {
+    "top_word_share": (0.99, 0.1), "pair_share": (0.99, 0.3), "triple_share": (0.99, 0.25), "duplicate_share": (0.99, 0.25),
+    "link_share": (0.99, 0.25), "tag_share": (0.99, 0.25), "separator_density": (0.99, 0.2),
 }
-# Expressions of boilerplate lines.
-_BOILERPLATE = re.compile(
-    r"^\W*\w?©|©\s*(?:19|20)\d\d|�\s*(?:19|20)\d\d|cookie|куки|クッキー|копирайт|all rights reserved|back to top|nach oben|derechos reservados|droits réservés|無断転載"
-    r"|(?:error|fehler|erreur|ошибка|σφάλμα|エラー)\s*\d{3}|\b(?:404|403|500|503)\b.*(?:not found|nothing|error|bitte|page)",
-    re.I,
-)
-_LINK = re.compile(r"https?://|www\.\w|<a\s|href=|\[url|\b[a-z0-9\-]{3,80}\.(?:com|net|org|info|biz|io|eu|de|fr|es|ru|gr|jp|uk|example|test)\b", re.I)
-_LINK_TEXT = re.compile(r"<a\s[^>]{0,500}>.{0,500}?</a>|<[^>]{0,500}>|(?:https?://|www\.)\S*|\b[\w\-.]{1,80}\.(?:example|test|com|net|org)\S*", re.I)
-_TAG = re.compile(
-    r"^[^.!?:]{2,60}\(\d{1,6}\)$|(?:[$€£¥]\s?\d|\d[\d.,]{0,20}\s?(?:€|\$|£|¥|eur\b|usd\b|руб)|\beur\s?\d|-\d{1,9}\s?%)|\btags?:\w|#[^\W\d]\w+\s+#[^\W\d]|^#[^\W\d]\w+$|\[[^\]\s]{3,80}\]|^\W*(?:sku|art|no|nr|item)\.?\s?\d+\W", re.I
-)
-_CODE = re.compile(r"^(?:return|import|from|def|for|if|while|const|let|var|function|class|print)\b.*[()\[\]{}=]")
-_HONEST = re.compile(r"\b\d{1,2}:\d\d\b|^\w+\s*=\s*\S|[;{}]\s*$|\w\(.*\)\s*;?$|^\s*\d+[.,]?\d*\s?(?:g|kg|mg|ml|l|cl|dl|г|кг|мл|γρ|グラム|tbsp|tsp|cups?|el|tl)\b")
-_WORD = re.compile(r"[^\W\d_]+")
-_ENDERS = re.compile(r"[.!?。！？…;](?=[\s\"”»’')]|$)|[。！？]")
-_SEPARATORS = (",", "|", "·", "•", "*", ";", "»", "/", ">", "\t", "–", "—", "、", "・", " - ", "  ")
-_HIRAGANA = re.compile(r"[ぁ-ゟ]")
-_CJK = re.compile(r"[぀-ヿ一-鿿]")
-_GARBLED = re.compile(r"[ÃÂÐÑÎÏãåæçèéäΓΒΠΡВГРС][\x80-\xbfŒ-™©·]|�")
-_SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-
-#: Part of a language's usual share of function words that makes a line prose.
-PROSE_PART = 0.3
-#: Share of function words taken for a language of which the corpus has no sure sentence.
-DEFAULT_SHARE = 0.3
-LONG_LINE_WORDS, MANY_SEGMENTS, FEWEST_BLOCK_WORDS = 25, 16, 12
-REPEATED_TIMES, REPEATED_SHARE, DUPLICATE_TIMES = 3, 0.4, 3
-MOST_SEPARATORS = 0.25
-
-
-#: Plain strings of which a line must hold one before the costlier expression is tried.
-_LINK_HINTS = ("http", "www.", "<a", "href", "[url", ".com", ".net", ".org", ".info", ".biz", ".io", ".eu", ".de", ".fr", ".es", ".ru", ".gr", ".jp", ".uk", ".example", ".test")
-_BOILERPLATE_HINTS = (
-    "©", "�", "cookie", "куки", "クッキー", "копирайт", "rights reserved", "back to top", "nach oben", "derechos", "droits", "無断", "error", "fehler", "erreur",
-    "ошибка", "σφάλμα", "エラー", "404", "403", "500", "503",
-)
-
-
-def has_link(text: str) -> bool:
-    low = text.lower()
-    return any(hint in low for hint in _LINK_HINTS) and bool(_LINK.search(text))
-
-
-def is_boilerplate(text: str) -> bool:
-    if len(text) >= 250:
-        return False
-    low = text.lower()
-    return any(hint in low for hint in _BOILERPLATE_HINTS) and bool(_BOILERPLATE.search(text))
-
-
-def n_separators(text: str) -> int:
-    return sum(map(text.count, _SEPARATORS))
-
-
-@dataclass
-class Line:
-    text: str
-    words: list[str]
-    n_function: int
-    kind: str = ""
-
-
-@dataclass
-class Page:
-    lines: list[Line] = field(default_factory=list)
-    lang: str = "en"
-    garbled: bool = False
+#: The same for the share of one word among the different sentences of a page.
+KEYWORD_LIMIT = (0.95, 0.15)
+
+# Shapes of links and product tags, marks between and at the end of segments.
+_LINK = re.compile(r"<a\s[^>]*>.*?(?:</a>|$)|\[url[^\]]*\]|(?:https?://|www\.)\S+", re.I)
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\b[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}\b")
+_TAG = re.compile(r"(?<=\s)\(\d+\)|[$€£¥₽]\s?\d|\d\s?[€$£¥₽]|\b(?:eur|usd|gbp)\s?\d|\d\s?(?:eur|usd|gbp)\b|-\d+\s?%|^\W*#\w|#[^\W\d]\w+|\[[^\]\s]+\]|^\W*[^\W\d]*\.?\s?\d{4,}\b", re.I)
+_AMOUNT = re.compile(r"\d+(?:[.,]\d+)?\s*[^\W\d]")
+_NUMBERED = re.compile(r"^\(?\d+[.)]\s+")
+_SEPARATOR = re.compile(r"\s+[-–—/|]+\s+|\s*[,、;|·•*»>・\t]+\s*|\s{2,}|\s+(?=#)|(?<=\])\s*(?=\[)")
+_ENDER = re.compile(r"[.!?…؟।](?=[\s\"”»’')]|$)|[。！？]")
+_EDGE = re.compile(r"[.!?…؟।](?=[\s\"”»’')]|$)[\"”»’')]*|[。！？]|" + _SEPARATOR.pattern)
+_WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヺー-ヿ]+|[㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+_HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+_LOST = re.compile(r"�|[\x80-\x9f]|[À-ÿ]{3,}|[Ѐ-ЏѐҐґ][^\w\s]|[ΒΓ][\x80-\xbf΀-ώ]")
 
 
 def _as_byte(error: UnicodeEncodeError):
@@ -115,184 +92,272 @@ def _as_byte(error: UnicodeEncodeError):
 codecs.register_error("seqloom_as_byte", _as_byte)
 
 
-def repaired(text: str, n_hits: int) -> tuple[str, int]:
-    """Undo UTF-8 that was read in another charset, if that gives more function words than ``n_hits``."""
-    best = text, n_hits
-    for charset in ("cp1252", "latin-1", "cp1253", "cp1251"):
-        fixed = text.encode(charset, "seqloom_as_byte").decode("utf-8", "ignore")
-        hits = max(_hits(Counter(_WORD.findall(fixed.lower()))).values())
-        if hits > best[1] or (hits == best[1] and len(_GARBLED.findall(fixed)) < len(_GARBLED.findall(best[0]))):
-            best = fixed, hits
+def repaired(text: str) -> str:
+    """Undo UTF-8 that was read in a charset of one byte a letter.
+
+    Sequences of several bytes that happen to be right UTF-8 are too rare to arise by chance: a repair is
+    taken if letters outside ASCII become fewer by two fifths, and an eighth of them at least is left (bytes
+    that were lost on the way break the sequences around them).
+    """
+    odd = len(text) - len(text.encode("ascii", "ignore"))
+    if not odd:
+        return text
+    best, left = text, odd * 0.6
+    for charset in ("cp1252", "latin-1", "cp1251", "cp1253"):
+        raw = text.encode(charset, "seqloom_as_byte")
+        fixed = raw.decode("utf-8", "ignore")
+        now = len(fixed) - len(fixed.encode("ascii", "ignore"))
+        if 0.12 * odd <= now < left:
+            best, left = fixed, now
     return best
 
 
-def _hits(counts: Counter) -> dict[str, int]:
-    return {name: sum(map(counts.__getitem__, words & counts.keys())) for name, words in _SETS.items()}
-
-
-def _lines(text: str) -> tuple[list[str], list[list[str]], Counter]:
-    """Lines that aren't blank, their words without those of links, and the counts of all words."""
-    raw = [line for line in map(str.strip, re.split(r"[\r\n]+", text)) if line]
-    split = [_WORD.findall((_LINK_TEXT.sub(" ", line) if has_link(line) else line).lower()) for line in raw]
-    return raw, split, Counter(chain.from_iterable(split))
-
-
-def read_page(text: str, lang: str | None) -> Page:
-    """Lines with their words; the language is the one with the most function words, else the given one."""
-    page = Page()
-    raw, split, counts = _lines(text)
-    cjk = 0 if text.isascii() else len(_CJK.findall(text))
-    if not text.isascii() and cjk * 5 <= len(text):
-        hits = max(_hits(counts).values())
-        odd = len(_GARBLED.findall(text))
-        if hits * 12 < sum(counts.values()) or odd * 200 > len(text):
-            text, _ = repaired(text, hits)
-            raw, split, counts = _lines(text)
-            cjk, odd = len(_CJK.findall(text)), len(_GARBLED.findall(text))
-        page.garbled = odd * 40 > len(text)
-    if cjk * 5 > len(text):
-        page.lang = "ja"
-        for line, words in zip(raw, split):
-            if not words or len(_CJK.findall(line)) * 3 < len(line):
-                page.lines.append(Line(line, words, 0))
-            else:
-                page.lines.append(Line(line, [w for w in re.split(r"[\W\d_]+", line) if w], len(_HIRAGANA.findall(line))))
-        return page
-    hits = _hits(counts)
-    best = max(hits, key=lambda k: hits[k])
-    page.lang = best if hits[best] else lang if lang in _SETS else "en"
-    known = _SETS[page.lang]
-    page.lines = [Line(line, words, sum(map(known.__contains__, words))) for line, words in zip(raw, split)]
-    return page
-
-
-def function_share(line: Line, lang: str) -> float:
-    return line.n_function / max(1, len(line.text) if lang == "ja" else len(line.words))
-
-
-def is_sure_sentence(line: Line) -> bool:
-    return len(line.text) >= 20 and line.text[-1] in ".!?。！？" and len(line.words) >= (1 if _CJK.search(line.text) else 6) and not has_link(line.text)
-
-
-def _is_prose(line: Line, page: Page, usual: float) -> bool:
-    n, text = len(line.words), line.text
-    if has_link(text):
-        text = _LINK_TEXT.sub(" ", text)
-        if len(text) < 0.5 * len(line.text):
-            return False
-    separators = n_separators(text)
-    if page.garbled:
-        return bool(_ENDERS.search(line.text)) and separators < MOST_SEPARATORS * max(n, 1)
-    share = function_share(line, page.lang)
-    if page.lang == "ja":
-        told = "。" in text and line.n_function >= 3 or share * len(line.text) >= PROSE_PART * usual * len(text)
-        return told and separators * 12 < len(text)
-    if separators > MOST_SEPARATORS * n and separators > 2:
-        return False
-    if line.n_function < 2 and _TAG.search(line.text):
-        return False
-    if n <= 8 and line.text[-1] in ".!?\"”»…" and _ENDERS.search(line.text):
-        return True
-    if share < PROSE_PART * usual:
-        return False
-    enders = len(_ENDERS.findall(text))
-    return (n <= 40 or enders > 0) and (line.n_function >= 2 or enders * LONG_LINE_WORDS / 2 >= n)
-
-
-def classify(page: Page, usual: float) -> dict:
-    """Give each line its kind; return letters by kind and the measures of the page."""
-    same = Counter(line.text.lower() for line in page.lines)
-    open_lines: list[Line] = []
-    for line in page.lines:
-        t = line.text
-        if is_boilerplate(t):
-            line.kind = "boilerplate"
-        elif _is_prose(line, page, usual):
-            line.kind = "prose"
-        elif _CODE.match(t) or (_HONEST.search(t) and not has_link(t) and not _TAG.search(t)):
-            line.kind = "honest"
-        else:
-            line.kind = "open"
-        if line.kind == "open":
-            open_lines.append(line)
-    words = Counter(w for line in open_lines for w in line.words)
-    total = sum(words.values())
-    for line in open_lines:
-        t, n = line.text, len(line.words)
-        segments = n_separators(t) + 1
-        repeated = sum(words[w] >= REPEATED_TIMES for w in line.words)
-        few_function = function_share(line, page.lang) < PROSE_PART * usual
-        if (
-            has_link(t)
-            or _TAG.search(t)
-            or (n >= LONG_LINE_WORDS and few_function and not page.garbled)
-            or segments >= MANY_SEGMENTS
-            or same[t.lower()] >= DUPLICATE_TIMES
-            or (total >= FEWEST_BLOCK_WORDS and n and repeated >= REPEATED_SHARE * n)
-        ):
-            line.kind = "stuffing"
-        else:
-            line.kind = "unclear"
-    letters = Counter()
-    for line in page.lines:
-        letters[line.kind] += len(line.text) + (len(_CJK.findall(line.text)) if page.lang == "ja" else 0)  # wide letters count twice
-    lines = len(page.lines)
-    return {
-        "stuffing": letters["stuffing"],
-        "honest": letters["prose"] + letters["honest"],
-        "left_out": letters["boilerplate"] + letters["unclear"],
-        "top_word_share": max(words.values(), default=0) / max(total, 1),
-        "repeated_word_share": sum(c for c in words.values() if c >= REPEATED_TIMES) / max(total, 1),
-        "duplicate_line_share": sum(c for c in same.values() if c > 1) / max(lines, 1),
-        "link_line_share": sum(has_link(line.text) for line in page.lines) / max(lines, 1),
-        "separator_density": sum(n_separators(line.text) for line in open_lines) / max(total, 1),
-        "function_word_share": sum(line.n_function for line in page.lines) / max(sum(len(line.words) for line in page.lines), 1),
-    }
+def words_of(text: str) -> list[str]:
+    """Words in lower case; runs of kana and single Han letters count as words."""
+    return _WORD.findall(text.lower())
 
 
-_MEASURES = ("top_word_share", "repeated_word_share", "duplicate_line_share", "link_line_share", "separator_density", "function_word_share")
+def class_of(lang: str | None) -> str:
+    code = re.match(r"[a-z]{2,3}(?![a-z])", (lang or "").strip().lower())
+    return code[0] if code and code[0] != "und" else ""
 
 
-def calibrate(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
-    """Usual share of function words in sure sentences, by language. At most one row for each language is collected."""
+def mask(line: str) -> str:
+    """A line with its numbers and addresses made alike."""
+    return re.sub(r"\d+", "0", _ADDRESS.sub("@", line.lower()))
+
+
+def _segments(line: str) -> list[str]:
+    return [s for s in map(str.strip, _EDGE.split(line)) if s]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[float]] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                page = read_page(text.as_py(), lang)
-                have = sums.setdefault(page.lang, [0, 0.0])
-                for line in page.lines:
-                    if is_sure_sentence(line) and line.n_function:
-                        have[0] += 1
-                        have[1] += function_share(line, page.lang)
-        arrays = [pa.array(list(sums), pa.string()), pa.array([int(v[0]) for v in sums.values()], pa.int64()), pa.array([float(v[1]) for v in sums.values()], pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "total"])
 
-    rows = spread(documents.where(F.col(text_col).isNotNull()).select(text_col, lang_col))
-    parts = rows.mapInArrow(run, "lang string, n long, total double")
-    found = parts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    return {r["lang"]: r["total"] / r["n"] for r in found if r["n"]}
+def menu_letters(line: str, menu: frozenset) -> int:
+    """Letters of a line in menu items, whether these are separated by marks or by blanks."""
+    found = 0
+    for segment in _segments(line.lower()):
+        words, at = segment.split(), 0
+        while at < len(words):
+            item = next((x for k in range(MENU_ITEM_WORDS, 0, -1) if (x := " ".join(words[at : at + k])) in menu and at + k <= len(words)), None)
+            found += len(item or "")
+            at += item.count(" ") + 1 if item else 1
+    return found
+
+
+def lines_of(text: str) -> list[str]:
+    return [line for line in map(str.strip, text.splitlines()) if line]
+
+
+@dataclass
+class Known:
+    """What was learned of one class."""
+
+    function: frozenset = frozenset()
+    menu: frozenset = frozenset()
+    lines: frozenset = frozenset()
+
+
+@dataclass
+class Pool:
+    """Lines of one kind and their counts."""
+
+    letters: int = 0
+    words: list = field(default_factory=list)
+    segments: list = field(default_factory=list)
+    n_function: int = 0
+    n_separators: int = 0
+    n_digits: int = 0
+    link_letters: int = 0
+    tag_letters: int = 0
+    amount_letters: int = 0
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[str, list[int]] = {}
+    words: dict[str, Counter] = {}
+    held: dict[tuple[str, str], Counter] = {}
+    for batch in batches:
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cls = class_of(lang)
+            text = repaired(text)
+            found = words_of(text)
+            total = totals.setdefault(cls, [0, 0])
+            total[0] += 1
+            total[1] += len(found)
+            words.setdefault(cls, Counter()).update(found)
+            held.setdefault((cls, "word"), Counter()).update(set(found))
+            lines = [line for line in lines_of(text) if len(line) < 300]
+            held.setdefault((cls, "line"), Counter()).update(set(map(mask, lines)))
+            items = set()
+            for line in lines:
+                if not _ENDER.search(line):
+                    items.update(s.lower() for s in _segments(line) if s.count(" ") < MENU_ITEM_WORDS)
+            held.setdefault((cls, "menu"), Counter()).update(items)
+    rows = [(cls, "all", "", n_words, n_pages) for cls, (n_pages, n_words) in totals.items()]
+    for (cls, kind), counts in held.items():
+        n_pages, n_words = totals[cls]
+        for item, n in counts.items():
+            times = words[cls][item] if kind == "word" else 0
+            if times >= SENT_SHARE * n_words if kind == "word" else n >= SENT_SHARE * n_pages * 5:
+                rows.append((cls, kind, item, times, n))
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["class", "kind", "item", "n", "pages"])
+
+
+def _with_text(documents: DataFrame, *columns: str) -> DataFrame:
+    return spread(documents.where(F.col("text").rlike(r"\S")).select(*columns))
+
+
+def learn(documents: DataFrame) -> dict[str, Known]:
+    """Function words, menu words and repeated lines of each class with enough pages."""
+    sent = _with_text(documents, "text", "lang").mapInArrow(_learn, "class string, kind string, item string, n long, pages long")
+    sums = sent.where("class <> ''").groupBy("class", "kind", "item").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+    of_class = Window.partitionBy("class")
+    size = {c: F.max(F.when(F.col("kind") == "all", F.col(c))).over(of_class) for c in ("n", "pages")}
+    sums = sums.withColumns({"all_n": size["n"], "all_pages": size["pages"]}).where((F.col("kind") != "all") & (F.col("all_pages") >= LEAST_PAGES))
+    least = F.when(F.col("kind") == "word", FUNCTION_PAGES).when(F.col("kind") == "menu", MENU_PAGES).otherwise(LINE_PAGES)
+    order = Window.partitionBy("class", "kind").orderBy(F.desc("n"), F.desc("pages"), "item")
+    often = sums.where(F.col("pages") >= least * F.col("all_pages"))
+    often = often.withColumns({"place": F.row_number().over(order), "before": F.sum("n").over(order) - F.col("n")})
+    chosen = often.where((F.col("place") <= MOST_WORDS) & (F.col("before") < COVERAGE * F.col("all_n")))
+    out: dict[str, dict[str, set]] = {}
+    covered: Counter = Counter()
+    for r in chosen.collect():
+        out.setdefault(r["class"], {"word": set(), "menu": set(), "line": set()})[r["kind"]].add(r["item"])
+        covered[r["class"]] += r["n"] / r["all_n"] if r["kind"] == "word" else 0
+    return {c: Known(frozenset(x["word"] if covered[c] >= COVERAGE / 2 else ()), frozenset(x["menu"]), frozenset(x["line"])) for c, x in out.items()}
+
+
+def _share(counts: Counter, least: int) -> float:
+    return sum(n for n in counts.values() if n >= least) / max(1, counts.total())
+
+
+def pool_measures(pool: Pool, function: frozenset = frozenset()) -> dict[str, float]:
+    """``top_word_share`` is that of the most frequent word that is no function word."""
+    words, n = pool.words, max(1, len(pool.words))
+    segments = Counter(s.lower() for s in pool.segments)
+    return {
+        "letters": pool.letters,
+        "words": len(words),
+        "top_word_share": max((c for w, c in Counter(words).items() if w not in function), default=0) / n,
+        "pair_share": _share(Counter(zip(words, words[1:])), 3),
+        "triple_share": _share(Counter(zip(words, words[1:], words[2:])), 3),
+        "duplicate_share": _share(segments, 2),
+        "link_share": pool.link_letters / max(1, pool.letters),
+        "tag_share": pool.tag_letters / max(1, pool.letters),
+        "separator_density": pool.n_separators / n,
+        "function_share": pool.n_function / n,
+        "digit_share": pool.n_digits / n,
+        "amount_share": pool.amount_letters / max(1, pool.letters),
+    }
 
 
-def page_measures(documents: DataFrame, usual: dict[str, float], id_col: str = "doc_id") -> DataFrame:
-    """(id, page_lang, stuffing, honest, left_out, measures): one row for each page with text."""
+def keyword_share(segments: list[str], function: frozenset) -> float:
+    """Largest share of one word of three letters or more, no function word, in segments that differ; it counts from three times on."""
+    words = [w for s in dict.fromkeys(s.lower() for s in segments) for w in words_of(s)]
+    top = max(((n, w) for w, n in Counter(words).items() if len(w) > 2 and w not in function), default=(0, ""))[0]
+    return top / len(words) if top >= 3 else 0.0
+
+
+def read_page(text: str, lang: str | None, known: dict[str, Known]) -> dict:
+    """Class and measures of a page: of its sentences (``s_``) and of the rest, and letters left out."""
+    text = repaired(text)
+    all_words = words_of(text)
+    counts = Counter(all_words)
+    fits = {c: sum(map(counts.__getitem__, k.function & counts.keys())) for c, k in known.items() if k.function}
+    best = max(fits, key=lambda c: (fits[c], c), default="")
+    own = class_of(lang)
+    least = SENTENCE_PART * COVERAGE
+    fit = bool(best) and fits[best] >= least * len(all_words)
+    cls = best if fit else own if own in known and known[own].function else ""
+    k = known.get(cls, Known())
+    lost = len(_LOST.findall(text)) * 40 > len(text)
+    # sentences may be in a language other than the declared one: short words tell, or long sentences of different words
+    easy = not cls or lost or sum(len(w) < 4 for w in all_words) >= SHORT_WORDS * len(all_words)
+    sentences, rest, left_out = Pool(), Pool(), 0
+    for line in lines_of(text):
+        if "©" in line or mask(line) in k.lines:
+            left_out += len(line)
+            continue
+        bare = _NUMBERED.sub("", line)
+        plain = _LINK.sub(" ", bare)
+        links = len(bare) - len(plain.strip()) if plain != bare else 0
+        words = words_of(plain)
+        n = len(words)
+        enders = len(_ENDER.findall(plain))
+        if not enders and not links and k.menu and menu_letters(line, k.menu) >= MENU_PART * sum(map(len, words)):
+            left_out += len(line)
+            continue
+        hits = sum(map(k.function.__contains__, words))
+        separators = len(_SEPARATOR.findall(plain))
+        digits = sum(not w.isalpha() for w in words)
+        tags = min(len(line), TAG_LETTERS * len(_TAG.findall(plain)))
+        crowded = separators > 2 and separators > MOST_SEPARATORS * n * (2 if enders and hits >= 2 * least * n > 0 else 1)
+        whole = 2 * (links + tags) < len(line) and not crowded
+        long = n >= LEAST_SENTENCE * max(enders, 1)
+        told = k.function and (hits >= least * n * (1 if enders else 2) and (enders or long) or hits and enders and long) and max(enders, 1) * LONGEST_OPEN >= n
+        shaped = (not fit or lost) and enders and long and n <= LONGEST_OPEN * enders and (easy or n >= LONG_SENTENCE * enders and len(set(words)) >= DIFFERENT_WORDS * n)
+        pool = sentences if whole and n and (told or shaped) else rest
+        letters = len(line) + len(_HAN.findall(line))  # wide letters count twice
+        pool.letters += letters
+        pool.words += words
+        pool.segments += _segments(plain)
+        pool.n_function += hits
+        pool.n_separators += separators
+        pool.n_digits += digits
+        pool.link_letters += links
+        pool.tag_letters += tags
+        pool.amount_letters += letters if n <= AMOUNT_WORDS and _AMOUNT.match(line) else 0
+    out = {"class": cls, "known": bool(k.function) and not lost, "left_out": left_out, "keyword_share": keyword_share(sentences.segments, k.function)}
+    out |= {f"s_{m}": v for m, v in pool_measures(sentences, k.function).items()}
+    return out | pool_measures(rest, k.function)
+
+
+_NAMES = list(pool_measures(Pool()))
+_FIELDS = [("class", "string"), ("known", "boolean"), ("left_out", "long"), ("keyword_share", "double")]
+_FIELDS += [(p + m, "long" if m in ("letters", "words") else "double") for p in ("s_", "") for m in _NAMES]
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
+
+
+def page_measures(documents: DataFrame, known: dict[str, Known], id_col: str = "doc_id") -> DataFrame:
+    """(id, class, measures): one row for each page with text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, rows = [], []
-            for text, lang in zip(batch.column(1), batch.column(2).to_pylist()):
-                page = read_page(text.as_py(), lang)
-                langs.append(page.lang)
-                rows.append(classify(page, usual.get(page.lang, DEFAULT_SHARE)))
-            counts = [pa.array([r[c] for r in rows], pa.int64()) for c in ("stuffing", "honest", "left_out")]
-            shares = [pa.array([float(r[c]) for r in rows], pa.float64()) for c in _MEASURES]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), *counts, *shares], names=[id_col, "page_lang", "stuffing", "honest", "left_out", *_MEASURES])
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                rows = [read_page(text, lang, known) for text, lang in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([r[c] for r in rows], _ARROW[k]) for c, k in _FIELDS)], names=[id_col, *(c for c, _ in _FIELDS)])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, page_lang string, stuffing long, honest long, left_out long, " + ", ".join(f"{m} double" for m in _MEASURES)
-    return spread(documents.where(F.trim("text") != "").select(id_col, "text", "lang")).mapInArrow(run, schema)
+    schema = f"`{id_col}` {kind}, " + ", ".join(f"`{c}` {k}" for c, k in _FIELDS)
+    return _with_text(documents, id_col, "text", "lang").mapInArrow(run, schema)
+
+
+def thresholds(measures: DataFrame) -> DataFrame:
+    """(class, limit_...): one row for each class with enough pages, from their sentences; the least limits hold for the others."""
+    told = measures.where(F.col("s_words") >= LEAST_WORDS)
+    limits = [F.greatest(F.percentile_approx(f"s_{m}", q, 1000), F.lit(least)).alias(f"limit_{m}") for m, (q, least) in LIMITS.items()]
+    usual = F.percentile_approx("s_function_share", 0.5, 1000).alias("usual_function_share")
+    keyword = F.greatest(F.percentile_approx("keyword_share", KEYWORD_LIMIT[0], 10_000), F.lit(KEYWORD_LIMIT[1])).alias("limit_keyword_share")
+    return told.groupBy("class").agg(F.count("*").alias("n"), *limits, usual, keyword).where(F.col("n") >= LEAST_PAGES).drop("n")
+
+
+def judged(measures: DataFrame) -> DataFrame:
+    """Measures with the thresholds of their class and ``stuffed``. ``measures`` is read twice: cut it before."""
+    rows = measures.join(F.broadcast(thresholds(measures)), "class", "left")  # a class is a code of at most three letters
+    limits = {f"limit_{m}": F.coalesce(f"limit_{m}", F.lit(least)) for m, (_, least) in [*LIMITS.items(), ("keyword_share", KEYWORD_LIMIT)]}
+    rows = rows.withColumns(limits)
+    beyond = {m: F.col(m) > F.col(f"limit_{m}") for m in LIMITS}
+    listed = beyond["link_share"] | beyond["tag_share"]
+    repeated = beyond["top_word_share"] | beyond["pair_share"] | beyond["triple_share"] | beyond["duplicate_share"] | beyond["separator_density"]
+    missing = F.col("known") & (F.col("function_share") < SENTENCE_PART * F.coalesce("usual_function_share", F.lit(COVERAGE)))
+    enough = F.col("words") >= LEAST_WORDS
+    stuffing = listed | ((F.col("digit_share") < DATA_SHARE) & (F.col("amount_share") < AMOUNT_SHARE) & enough & (repeated | missing))
+    keyword = F.col("known") & (F.col("keyword_share") > F.col("limit_keyword_share"))
+    stuffed = F.when(F.col("letters") > F.col("s_letters"), stuffing).otherwise(keyword)
+    return rows.withColumn("stuffed", stuffed)
 
 
 def stuffed_pages(measures: DataFrame) -> DataFrame:
-    return measures.where(F.col("stuffing") > F.col("honest"))
+    return judged(measures).where("stuffed")

@@ -290,16 +290,65 @@ def test_stuffed_pages(spark):
         13: ("The tower was closed.\n" * 20 + "buy boots\n" * 3, "en", False),
     }
     df = spark.createDataFrame([(i, t, lang, "x") for i, (t, lang, _) in pages.items()], "doc_id long, text string, lang string, stuffing string")
-    usual = spam_pages.calibrate(df)
-    assert 0.2 < usual["en"] < 0.8
-    found = {r.doc_id for r in spam_pages.stuffed_pages(spam_pages.page_measures(df, usual)).collect()}
+    known = spam_pages.learn(df)
+    assert known == {}  # no class has enough pages: all is judged by shape
+    measures = spam_pages.page_measures(df, known)
+    found = {r.doc_id for r in spam_pages.stuffed_pages(measures).collect()}
     assert found == {i for i, (_, _, spam) in pages.items() if spam}
-    assert spam_pages.calibrate(df.limit(0)) == {}
+    assert measures.count() == 10 and spam_pages.learn(df.limit(0)) == {}
+    assert spam_pages.judged(spam_pages.page_measures(df.limit(0), {})).count() == 0
+
+
+# ordinary sentences written for this test, one language each
+SENTENCES = {
+    "it": "Il vecchio mulino è stato aperto dal comune in primavera, ma nessuno ha ancora visto le sue ruote girare. La gente del paese dice che l'acqua del fiume era troppo bassa per muovere le pietre.",
+    "pt": "O velho moinho foi aberto pela câmara na primavera, mas ninguém viu ainda as suas rodas a girar. As pessoas da aldeia dizem que a água do rio era baixa demais para mover as pedras.",
+    "pl": "Stary młyn został otwarty przez gminę na wiosnę, ale nikt nie widział jeszcze jego kół w ruchu. Ludzie ze wsi mówią, że woda w rzece była zbyt niska, aby poruszyć kamienie.",
+    "tr": "Eski değirmen baharda belediye tarafından açıldı, ama kimse onun çarklarının döndüğünü görmedi. Köydeki insanlar nehrin suyunun taşları çevirmek için çok az olduğunu söylüyor.",
+    "zh": "这座古老的磨坊在春天由镇政府开放，但是还没有人看到它的轮子转动。村里的人说，河里的水太浅，无法推动那些石头。去年冬天下了很多雪，所以今年的情况也许会好一些。",
+    "fi": "Vanha mylly avattiin keväällä kunnan toimesta, mutta kukaan ei ole vielä nähnyt sen rattaiden pyörivän. Kylän asukkaat sanovat, että joen vesi oli liian matalalla kivien liikuttamiseen.",
+}
+STUFFED = {
+    21: "Buy the cheap shoes and the best shoes in the city of the shoes. " * 15,
+    22: "buy cheap boots online best boots sale boots " * 20,
+    23: "boots (12) sale (40) watches (7) handbag (101) " * 12,
+}
+
+
+@pytest.mark.parametrize("lang", [None, "own", "en", "ja"])
+def test_sentences_of_unknown_languages(spark, lang):
+    """Prose of languages without a class is never found, whatever is declared; stuffing is, with function words or without."""
+    english = ["The old mill was opened by the council in the spring, and the river was not measured until the people of the town had complained about it again.",
+               "It was a long winter for the town, but the bridge that the council had built in the spring was not damaged by the water of the river."]
+    rows = [(100 + i, f"{english[i % 2]} {chr(97 + i % 26) * (3 + i // 26)} was the next to be visited, and the owner of it was not at home.", "en") for i in range(30)]
+    rows += [(i, text, lang if lang != "own" else code) for i, (code, text) in enumerate(SENTENCES.items())]
+    rows += [(i, text, "en") for i, text in STUFFED.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spam_pages.learn(df)
+    assert {"the", "was"} <= known["en"].function and set(known) == {"en"}
+    assert {r.doc_id for r in spam_pages.stuffed_pages(spam_pages.page_measures(df, known)).collect()} == set(STUFFED)
+
+
+def test_learning_does_not_depend_on_partitions(spark):
+    rows = [(i, "Home | News | Contact\n" + f"The mill of the town number {i} was opened.", "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spam_pages.learn(df.repartition(7))
+    assert known == spam_pages.learn(df.coalesce(1)) and {"home", "news", "contact"} <= known["en"].menu
+    assert "home | news | contact" in known["en"].lines
+
+
+def test_repaired():
+    for text in ("Der Müller fuhr über die Brücke.", "Les élèves ont été là.", "Старый мост был открыт после бури.", "日本語の文章です。", "x² + y² ≤ r²"):
+        assert spam_pages.repaired(text) == text
+        for charset in ("latin-1", "cp1252", "cp1251", "cp1253"):
+            garbled = text.encode().decode(charset, "replace")
+            if "\ufffd" not in garbled and text != garbled and len(text) > 20:
+                assert spam_pages.repaired(garbled) == text
 
 
 def test_long_page():
-    page = spam_pages.read_page("the mill was old. " * 60_000 + "\n" + "x" * 300_000, "en")
-    assert spam_pages.classify(page, 0.4)["stuffing"] == 0
+    page = spam_pages.read_page("the mill was old. " * 60_000 + "\n" + "x" * 300_000 + "\n" + "1" * 300_000 + "\n<a " + "y" * 300_000, "en", {})
+    assert page["s_letters"] > 0 and page["letters"] >= 900_000
 
 
 def test_queries_are_registered():
