@@ -197,18 +197,67 @@ def test_cuts_are_safe():
         assert "".join(parts) == w and sum((enc.encode_ordinary(x) for x in parts), []) == enc.encode_ordinary(w)
 
 
+def n_containers(plan, counts, capacity):
+    """How many containers a plan has, once it is sure that it holds all items and overfills none."""
+    held = Counter()
+    for filling, times in plan:
+        assert sum(filling) <= capacity and times > 0
+        for size in filling:
+            held[size] += times
+    assert held == Counter(counts)
+    return sum(times for _, times in plan)
+
+
+def least_containers(items, capacity):
+    """The optimum by trying all."""
+    items, rooms, best = sorted(items, reverse=True), [], len(items)
+
+    def place(i):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= items[i]}.values():
+            rooms[k] -= items[i]
+            place(i + 1)
+            rooms[k] += items[i]
+        rooms.append(capacity - items[i])
+        place(i + 1)
+        rooms.pop()
+
+    place(0)
+    return best
+
+
+def test_plans_are_never_worse_than_best_fit():
+    r, better = random.Random(3), 0
+    for _ in range(1000):
+        counts = Counter(r.randint(1, r.choice([30, 50, 70, 100])) for _ in range(r.choice([1, 8, 20, 40, 60, 120, 300])))
+        n = n_containers(bin_packing.plan_containers(counts, 100), counts, 100)
+        first = n_containers(bin_packing.best_fit_decreasing(counts, 100), counts, 100)
+        assert bin_packing.lower_bound(counts, 100) <= n <= first
+        better += n < first
+    assert better > 20
+    for _ in range(200):
+        capacity = r.choice([20, 50, 100])
+        items = [r.randint(1, capacity) if r.random() < 0.3 else r.randint(capacity // 5, capacity // 2) for _ in range(r.randint(1, 11))]
+        assert n_containers(bin_packing.plan_containers(Counter(items), capacity), Counter(items), capacity) == least_containers(items, capacity)
+    assert bin_packing.plan_containers({}) == []
+
+
+def test_plans_do_not_grow_with_the_number_of_items():
+    r = random.Random(8)
+    once = Counter(r.randint(1, 2048) for _ in range(5000))
+    many = {size: n * 10**6 for size, n in once.items()}
+    plan = bin_packing.plan_containers(many)
+    assert n_containers(plan, many, 2048) <= 1.005 * bin_packing.lower_bound(many, 2048)
+    assert len(bin_packing.plan_arrays(plan)["size"]) < 3 * len(once) * 3
+
+
 def test_containers(spark, monkeypatch):
     r = random.Random(3)
-    for _ in range(60):
-        counts = Counter(r.randint(1, r.choice([5, 50, 100])) for _ in range(r.randint(1, 60)))
-        plan = bin_packing.plan_containers(dict(counts), 100)
-        held = Counter()
-        for filling, times in plan:
-            assert sum(filling) <= 100
-            for s in filling:
-                held[s] += times
-        assert held == counts
-        assert sum(n for _, n in plan) <= bin_packing.best_fit_decreasing(dict(counts), 100)
     monkeypatch.setattr(bin_packing, "BUCKET_ROWS", 50)
     sizes = [(i, r.choice([0, 300, 300, 300, 700, 2048, 5000, r.randint(1, 2048)])) for i in range(600)] + [(600, None)]
     df = spark.createDataFrame([(*x, "y") for x in sizes], "doc_id long, n long, container_id string")
@@ -221,7 +270,7 @@ def test_containers(spark, monkeypatch):
         whole[x.doc_id] += x["size"]
     assert max(load.values()) <= 2048 and whole == Counter({i: n or 0 for i, n in sizes})
     assert len(places) == sum(x.container_id is not None for x in rows) and sorted(load) == list(range(len(load)))
-    assert len(load) <= bin_packing.best_fit_decreasing(Counter(x["size"] for x in rows if x["size"]), 2048)
+    assert len(load) <= sum(n for _, n in bin_packing.best_fit_decreasing(Counter(x["size"] for x in rows if x["size"]), 2048))
     assert all(x.piece == 1 for x in rows if dict(sizes)[x.doc_id] is None or dict(sizes)[x.doc_id] <= 2048)
     assert bin_packing.assign_containers(df.limit(0), "doc_id", "n").count() == 0
 
