@@ -9,7 +9,7 @@ learned from the corpus:
    the items and lines that many pages repeat.
 2. ``page_measures``: one step that reads each page once. Lines that repeat over many pages are left out,
    lines of sentences make the honest part, and all the rest is measured: shares of its most frequent word, of
-   repeated pairs and triples of words, of repeated segments, of letters in links, of segments shaped like
+   repeated pairs of words, of repeated segments, of letters in links, of segments shaped like
    product tags, separators a word, function words.
 3. ``thresholds``: quantiles of the same measures over the sentences of each language; ``stuffed_pages``
    compares columns with columns. A page is found if the rest is longer than its sentences and one measure of the
@@ -36,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -57,6 +58,8 @@ SHORT_WORDS = 0.2
 LEAST_SENTENCE, LONGEST_OPEN, LEAST_WORDS = 4, 60, 25
 LONG_SENTENCE, DIFFERENT_WORDS = 6, 0.6
 MOST_SEPARATORS, MENU_ITEM_WORDS, MENU_PART = 0.25, 3, 0.6
+#: Notices and menus are lines of fewer letters.
+NOTICE_LETTERS = 300
 #: Letters that one product tag stands for at most.
 TAG_LETTERS = 25
 #: A rest is data, if it has neither links nor tags, where so many words hold digits or so many letters stand in short lines that begin with an amount.
@@ -64,7 +67,7 @@ DATA_SHARE, AMOUNT_SHARE, AMOUNT_WORDS = 0.25, 0.4, 8
 
 #: Measures of stuffing: the quantile of a language's sentences and the least threshold.
 LIMITS = {
-    "top_word_share": (0.99, 0.1), "pair_share": (0.99, 0.3), "triple_share": (0.99, 0.25), "duplicate_share": (0.99, 0.25),
+    "top_word_share": (0.99, 0.1), "pair_share": (0.99, 0.3), "duplicate_share": (0.99, 0.25),
     "link_share": (0.99, 0.25), "tag_share": (0.99, 0.25), "separator_density": (0.99, 0.2),
 }
 #: The same for the share of one word among the different sentences of a page.
@@ -72,16 +75,21 @@ KEYWORD_LIMIT = (0.95, 0.15)
 
 # Shapes of links and product tags, marks between and at the end of segments.
 _LINK = re.compile(r"<a\s[^>]*>.*?(?:</a>|$)|\[url[^\]]*\]|(?:https?://|www\.)\S+", re.I)
-_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\b[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}\b")
+_LINK_HINTS = ("://", "www.", "WWW.", "<a", "<A", "[url", "[URL")
 _TAG = re.compile(r"(?<=\s)\(\d+\)|[$€£¥₽]\s?\d|\d\s?[€$£¥₽]|\b(?:eur|usd|gbp)\s?\d|\d\s?(?:eur|usd|gbp)\b|-\d+\s?%|^\W*#\w|#[^\W\d]\w+|\[[^\]\s]+\]|^\W*[^\W\d]*\.?\s?\d{4,}\b", re.I)
+_TAG_HINT = re.compile(r"[$€£¥₽#\[%]|\(\d|\d{4}|eur|usd|gbp", re.I)
 _AMOUNT = re.compile(r"\d+(?:[.,]\d+)?\s*[^\W\d]")
 _NUMBERED = re.compile(r"^\(?\d+[.)]\s+")
-_SEPARATOR = re.compile(r"\s+[-–—/|]+\s+|\s*[,、;|·•*»>・\t]+\s*|\s{2,}|\s+(?=#)|(?<=\])\s*(?=\[)")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
+_SEPARATORS = (",", "、", ";", "|", "·", "•", "*", "»", ">", "・", "\t", "  ", " - ", " – ", " — ", " / ", " #", "][", "] [")
 _ENDER = re.compile(r"[.!?…؟।](?=[\s\"”»’')]|$)|[。！？]")
-_EDGE = re.compile(r"[.!?…؟।](?=[\s\"”»’')]|$)[\"”»’')]*|[。！？]|" + _SEPARATOR.pattern)
-_WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヺー-ヿ]+|[㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
+_EDGE = re.compile(r"(?:[.!?…؟।。！？,、;|·•*»>・\t\n#\[\]]|\s[-–—/]+\s|\s\s)+")
+_WORD = re.compile(r"[^\W_ぁ-ゟ゠-ヿ㐀-鿿]+|[ぁ-ゟ]+|[゠-ヺー-ヿ]+|[㐀-鿿]")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 _LOST = re.compile(r"�|[\x80-\x9f]|[À-ÿ]{3,}|[Ѐ-ЏѐҐґ][^\w\s]|[ΒΓ][\x80-\xbf΀-ώ]")
+# a lead byte of UTF-8 and a byte that goes on, as letters of the charsets tried
+_GARBLED = re.compile(r"[Â-ôВ-фΒ-τ][\x80-\xbf�ŒœŠšŽžŸˆ˜‚ƒ„…†‡‰‹‘’“”•–—™›Ђ-Џђ-џҐґ№΄-Ώ]")
 
 
 def _as_byte(error: UnicodeEncodeError):
@@ -99,8 +107,10 @@ def repaired(text: str) -> str:
     taken if letters outside ASCII become fewer by two fifths, and an eighth of them at least is left (bytes
     that were lost on the way break the sequences around them).
     """
+    if text.isascii():
+        return text
     odd = len(text) - len(text.encode("ascii", "ignore"))
-    if not odd:
+    if len(_GARBLED.findall(text)) * 10 < odd:
         return text
     best, left = text, odd * 0.6
     for charset in ("cp1252", "latin-1", "cp1251", "cp1253"):
@@ -114,7 +124,7 @@ def repaired(text: str) -> str:
 
 def words_of(text: str) -> list[str]:
     """Words in lower case; runs of kana and single Han letters count as words."""
-    return _WORD.findall(text.lower())
+    return (_PLAIN_WORD if text.isascii() else _WORD).findall(text.lower())
 
 
 def class_of(lang: str | None) -> str:
@@ -124,7 +134,11 @@ def class_of(lang: str | None) -> str:
 
 def mask(line: str) -> str:
     """A line with its numbers and addresses made alike."""
-    return re.sub(r"\d+", "0", _ADDRESS.sub("@", line.lower()))
+    return " ".join([w if w.isalpha() else _masked(w) for w in line.lower().split()])
+
+
+def _masked(word: str) -> str:
+    return "@" if word.isascii() and ("." in word[:-1] or "/" in word[:-1]) else _DIGITS.sub("0", word)
 
 
 def _segments(line: str) -> list[str]:
@@ -162,7 +176,7 @@ class Pool:
 
     letters: int = 0
     words: list = field(default_factory=list)
-    segments: list = field(default_factory=list)
+    lines: list = field(default_factory=list)
     n_function: int = 0
     n_separators: int = 0
     n_digits: int = 0
@@ -178,14 +192,15 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             cls = class_of(lang)
-            text = repaired(text)
-            found = words_of(text)
+            all_lines = lines_of(repaired(text))
+            by_line = list(map(words_of, all_lines))
+            found = list(chain.from_iterable(by_line))
             total = totals.setdefault(cls, [0, 0])
             total[0] += 1
             total[1] += len(found)
             words.setdefault(cls, Counter()).update(found)
             held.setdefault((cls, "word"), Counter()).update(set(found))
-            lines = [line for line in lines_of(text) if len(line) < 300]
+            lines = [line for line in all_lines if len(line) < NOTICE_LETTERS]
             held.setdefault((cls, "line"), Counter()).update(set(map(mask, lines)))
             items = set()
             for line in lines:
@@ -232,16 +247,15 @@ def _share(counts: Counter, least: int) -> float:
     return sum(n for n in counts.values() if n >= least) / max(1, counts.total())
 
 
-def pool_measures(pool: Pool, function: frozenset = frozenset()) -> dict[str, float]:
+def pool_measures(pool: Pool, segments: Counter, function: frozenset = frozenset()) -> dict[str, float]:
     """``top_word_share`` is that of the most frequent word that is no function word."""
     words, n = pool.words, max(1, len(pool.words))
-    segments = Counter(s.lower() for s in pool.segments)
+    tops = Counter(words).most_common(len(function) + 1)
     return {
         "letters": pool.letters,
         "words": len(words),
-        "top_word_share": max((c for w, c in Counter(words).items() if w not in function), default=0) / n,
+        "top_word_share": next((c for w, c in tops if w not in function), 0) / n,
         "pair_share": _share(Counter(zip(words, words[1:])), 3),
-        "triple_share": _share(Counter(zip(words, words[1:], words[2:])), 3),
         "duplicate_share": _share(segments, 2),
         "link_share": pool.link_letters / max(1, pool.letters),
         "tag_share": pool.tag_letters / max(1, pool.letters),
@@ -252,68 +266,70 @@ def pool_measures(pool: Pool, function: frozenset = frozenset()) -> dict[str, fl
     }
 
 
-def keyword_share(segments: list[str], function: frozenset) -> float:
+def keyword_share(segments: Counter, function: frozenset) -> float:
     """Largest share of one word of three letters or more, no function word, in segments that differ; it counts from three times on."""
-    words = [w for s in dict.fromkeys(s.lower() for s in segments) for w in words_of(s)]
-    top = max(((n, w) for w, n in Counter(words).items() if len(w) > 2 and w not in function), default=(0, ""))[0]
+    words = words_of("\n".join(segments))
+    top = next((n for w, n in Counter(words).most_common() if len(w) > 2 and w not in function), 0)
     return top / len(words) if top >= 3 else 0.0
 
 
 def read_page(text: str, lang: str | None, known: dict[str, Known]) -> dict:
     """Class and measures of a page: of its sentences (``s_``) and of the rest, and letters left out."""
     text = repaired(text)
-    all_words = words_of(text)
-    counts = Counter(all_words)
+    lines = []
+    for line in lines_of(text):
+        plain = bare = _NUMBERED.sub("", line) if line[0] in "(0123456789" else line
+        if any(hint in bare for hint in _LINK_HINTS):
+            plain = _LINK.sub(" ", bare)
+        lines.append((line, plain, words_of(plain), len(bare) - len(plain.strip())))
+    counts = Counter(chain.from_iterable(words for _, _, words, _ in lines))
+    n_words = counts.total()
     fits = {c: sum(map(counts.__getitem__, k.function & counts.keys())) for c, k in known.items() if k.function}
     best = max(fits, key=lambda c: (fits[c], c), default="")
     own = class_of(lang)
     least = SENTENCE_PART * COVERAGE
-    fit = bool(best) and fits[best] >= least * len(all_words)
+    fit = bool(best) and fits[best] >= least * n_words
     cls = best if fit else own if own in known and known[own].function else ""
     k = known.get(cls, Known())
-    lost = len(_LOST.findall(text)) * 40 > len(text)
+    lost = not text.isascii() and len(_LOST.findall(text)) * 40 > len(text)
     # sentences may be in a language other than the declared one: short words tell, or long sentences of different words
-    easy = not cls or lost or sum(len(w) < 4 for w in all_words) >= SHORT_WORDS * len(all_words)
+    easy = not cls or lost or (not fit and sum(n for w, n in counts.items() if len(w) < 4) >= SHORT_WORDS * n_words)
     sentences, rest, left_out = Pool(), Pool(), 0
-    for line in lines_of(text):
-        if "©" in line or mask(line) in k.lines:
+    for line, plain, words, links in lines:
+        if "©" in line or (len(line) < NOTICE_LETTERS and k.lines and mask(line) in k.lines):
             left_out += len(line)
             continue
-        bare = _NUMBERED.sub("", line)
-        plain = _LINK.sub(" ", bare)
-        links = len(bare) - len(plain.strip()) if plain != bare else 0
-        words = words_of(plain)
         n = len(words)
         enders = len(_ENDER.findall(plain))
-        if not enders and not links and k.menu and menu_letters(line, k.menu) >= MENU_PART * sum(map(len, words)):
+        if not enders and not links and k.menu and len(line) < NOTICE_LETTERS and menu_letters(line, k.menu) >= MENU_PART * sum(map(len, words)):
             left_out += len(line)
             continue
         hits = sum(map(k.function.__contains__, words))
-        separators = len(_SEPARATOR.findall(plain))
-        digits = sum(not w.isalpha() for w in words)
-        tags = min(len(line), TAG_LETTERS * len(_TAG.findall(plain)))
+        separators = sum(map(plain.count, _SEPARATORS))
+        tags = min(len(line), TAG_LETTERS * len(_TAG.findall(plain))) if _TAG_HINT.search(plain) else 0
         crowded = separators > 2 and separators > MOST_SEPARATORS * n * (2 if enders and hits >= 2 * least * n > 0 else 1)
         whole = 2 * (links + tags) < len(line) and not crowded
         long = n >= LEAST_SENTENCE * max(enders, 1)
         told = k.function and (hits >= least * n * (1 if enders else 2) and (enders or long) or hits and enders and long) and max(enders, 1) * LONGEST_OPEN >= n
         shaped = (not fit or lost) and enders and long and n <= LONGEST_OPEN * enders and (easy or n >= LONG_SENTENCE * enders and len(set(words)) >= DIFFERENT_WORDS * n)
         pool = sentences if whole and n and (told or shaped) else rest
-        letters = len(line) + len(_HAN.findall(line))  # wide letters count twice
+        letters = len(line) + (0 if line.isascii() else len(_HAN.findall(line)))  # wide letters count twice
         pool.letters += letters
         pool.words += words
-        pool.segments += _segments(plain)
+        pool.lines.append(plain)
         pool.n_function += hits
         pool.n_separators += separators
-        pool.n_digits += digits
+        pool.n_digits += sum(not w.isalpha() for w in words) if _DIGIT.search(plain) else 0
         pool.link_letters += links
         pool.tag_letters += tags
         pool.amount_letters += letters if n <= AMOUNT_WORDS and _AMOUNT.match(line) else 0
-    out = {"class": cls, "known": bool(k.function) and not lost, "left_out": left_out, "keyword_share": keyword_share(sentences.segments, k.function)}
-    out |= {f"s_{m}": v for m, v in pool_measures(sentences, k.function).items()}
-    return out | pool_measures(rest, k.function)
+    told, others = (Counter(_segments("\n".join(pool.lines).lower())) for pool in (sentences, rest))
+    out = {"class": cls, "known": bool(k.function) and not lost, "left_out": left_out, "keyword_share": keyword_share(told, k.function)}
+    out |= {f"s_{m}": v for m, v in pool_measures(sentences, told, k.function).items()}
+    return out | pool_measures(rest, others, k.function)
 
 
-_NAMES = list(pool_measures(Pool()))
+_NAMES = list(pool_measures(Pool(), Counter()))
 _FIELDS = [("class", "string"), ("known", "boolean"), ("left_out", "long"), ("keyword_share", "double")]
 _FIELDS += [(p + m, "long" if m in ("letters", "words") else "double") for p in ("s_", "") for m in _NAMES]
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
@@ -350,7 +366,7 @@ def judged(measures: DataFrame) -> DataFrame:
     rows = rows.withColumns(limits)
     beyond = {m: F.col(m) > F.col(f"limit_{m}") for m in LIMITS}
     listed = beyond["link_share"] | beyond["tag_share"]
-    repeated = beyond["top_word_share"] | beyond["pair_share"] | beyond["triple_share"] | beyond["duplicate_share"] | beyond["separator_density"]
+    repeated = beyond["top_word_share"] | beyond["pair_share"] | beyond["duplicate_share"] | beyond["separator_density"]
     missing = F.col("known") & (F.col("function_share") < SENTENCE_PART * F.coalesce("usual_function_share", F.lit(COVERAGE)))
     enough = F.col("words") >= LEAST_WORDS
     stuffing = listed | ((F.col("digit_share") < DATA_SHARE) & (F.col("amount_share") < AMOUNT_SHARE) & enough & (repeated | missing))
