@@ -9,14 +9,18 @@ kept as its representative, and offsets are carried along.
 Exactness: a unit that stands in two records makes all its windows shared. Where units with one
 anchor differ (they begin or end at the edge of a shared stretch, or hold an edit), their windows are
 compared one by one, each distinct unit once. So the result is that of comparing all windows, while
-about one unit for every 30 letters is shuffled. Digests have 128 bits.
+about one unit for every 30 letters is shuffled, and of most of these only the anchor: a window that stands in
+two texts has the same anchor in both, so units of anchors of one text are done with. Digests have 128
+bits and are made of code points, so every letter of Unicode counts as itself.
 
 Copies: equal residues are first grouped by digest and only the earliest is cut into units; all
-windows of a text that several records hold are shared without further work.
+windows of a text that several records hold are shared without further work. Residues aren't shuffled for
+that: a table of ids and digests is, and it is joined to the residues by broadcast where it is small.
 
 Windows with ten or more n/N in a row don't count. Null, empty or short residues give no row. A
 repeated row of one record_id is not another record. Memory: residues are cut in blocks of 2 million
-letters, so that a chromosome needs little more than its own size.
+letters, so that a chromosome needs little more than its own size; stretches are merged by a sort within
+their record, in linear time.
 """
 
 from __future__ import annotations
@@ -93,12 +97,37 @@ def runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[::2].tolist(), edges[1::2].tolist())
 
 
-def units(residues: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, bytes]]:
+class Letters:
+    """Code points of a text, one number a letter, and digests of its parts.
+
+    Texts of Latin-1 letters take one byte a letter, others four; a part gives one digest in both.
+    """
+
+    def __init__(self, text: str):
+        try:
+            self.data = text.encode("latin-1")
+            self.codes = np.frombuffer(self.data, np.uint8)
+        except UnicodeEncodeError:
+            self.data = None
+            self.codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def digest(self, start: int, end: int) -> bytes:
+        if self.data is not None:
+            return xxhash.xxh3_128_digest(self.data[start:end])
+        part = self.codes[start:end]
+        if part.max(initial=0) < 256:
+            return xxhash.xxh3_128_digest(part.astype(np.uint8).tobytes())
+        return xxhash.xxh3_128_digest(part.tobytes(), seed=1)
+
+
+def units(text: Letters, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, windows, anchor, digest) of each unit; each valid window belongs to exactly one."""
-    total = len(residues) - length + 1
+    total = len(text) - length + 1
     for at in range(0, max(total, 0), BLOCK):
-        part = residues[at : at + BLOCK + length - 1]
-        codes = np.frombuffer(part, np.uint8)
+        codes = text.codes[at : at + BLOCK + length - 1]
         ok = valid_windows(codes, length)
         hashes = _gram_hashes(codes, gram)
         place = _first_minimum(hashes, length - gram + 1)
@@ -109,38 +138,34 @@ def units(residues: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[t
         starts, ends = starts[keep], ends[keep]
         anchors = hashes[place[starts]].view(np.int64)
         for a, b, anchor in zip(starts.tolist(), ends.tolist(), anchors.tolist()):
-            yield at + a, b - a, anchor, xxhash.xxh3_128_digest(part[a : b + length - 1])
-
-
-def _encode(text: str) -> bytes:
-    """One byte a letter, so that places are letters; other letters than Latin-1 share a code nowhere used."""
-    return text.encode("latin-1", "replace")
+            yield at + a, b - a, anchor, text.digest(at + a, at + b + length - 1)
 
 
 def _cut_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("text_id", pa.int64()), ("start", pa.int64()), ("n_windows", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary())])
+    rows: list[tuple] = []
     for batch in batches:
         for text_id, residues in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows = list(units(_encode(residues.as_py())))
-            for lo in range(0, len(rows), 100_000):
-                some = rows[lo : lo + 100_000]
-                start, n, anchor, digest = zip(*some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([text_id] * len(some), pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(anchor, pa.int64()), pa.array(digest, pa.binary())],
-                    names=["text_id", "start", "n_windows", "anchor", "digest"],
-                )
+            for unit in units(Letters(residues.as_py())):
+                rows.append((text_id, *unit))
+                if len(rows) == 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text_id, residues, units) to one row for each window of the named units."""
     for batch in batches:
         for text_id, residues, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            text = _encode(residues.as_py())
+            text = Letters(residues.as_py())
             at, asks, digests = [], [], []
             for unit in wanted.as_py():
                 for p in range(unit["start"], unit["start"] + unit["n_windows"]):
                     at.append(p)
                     asks.append(unit["asks"])
-                    digests.append(xxhash.xxh3_128_digest(text[p : p + LENGTH]))
+                    digests.append(text.digest(p, p + LENGTH))
             for lo in range(0, len(at), 50_000):
                 hi = lo + 50_000
                 yield pa.RecordBatch.from_arrays(
@@ -154,7 +179,7 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, starts, ends = [], [], []
         for record_id, residues in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for a, b in runs(valid_windows(np.frombuffer(_encode(residues.as_py()), np.uint8))):
+            for a, b in runs(valid_windows(Letters(residues.as_py()).codes)):
                 ids.append(record_id)
                 starts.append(a)
                 ends.append(b - 1 + LENGTH)
@@ -163,38 +188,28 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _merged(pieces: DataFrame) -> DataFrame:
-    """Join stretches of a record that overlap or touch. Arrays hold the stretches of one record."""
-    gathered = pieces.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("s"))
-    first = F.slice("s", 1, 1)
-
-    def step(out, x):
-        last = F.element_at(out, -1)
-        longer = F.struct(last["span_start"].alias("span_start"), F.greatest(last["span_end"], x["span_end"]).alias("span_end"))
-        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))
-        return F.when(x["span_start"] <= last["span_end"], grown).otherwise(F.concat(out, F.array(x)))
-
-    return gathered.select("record_id", F.explode(F.aggregate("s", first, step)).alias("x")).select("record_id", "x.span_start", "x.span_end")
+def _placed(records: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Texts (record_id, text_key, residues) of windows, and (record_id, text_key, text_id, last_id): the first and last record of each."""
+    texts = records.select(F.col(id_col).cast("long").alias("record_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"), F.col(text_col).alias("residues"))
+    texts = texts.where(F.col("record_id").isNotNull() & (F.length("residues") >= LENGTH))
+    ids = texts.select("record_id", "text_key").distinct()
+    heads = ids.groupBy("text_key").agg(F.min("record_id").alias("text_id"), F.max("record_id").alias("last_id"))
+    return texts, cut(ids.join(heads, "text_key"))
 
 
 def shared_spans(records: DataFrame, id_col: str = "record_id", text_col: str = "residues") -> DataFrame:
     """(record_id, span_start, span_end): one row for each maximal stretch covered by shared windows."""
-    texts = records.select(F.col(id_col).cast("long").alias("record_id"), F.col(text_col).alias("residues")).where(
-        F.col("record_id").isNotNull() & (F.length("residues") >= LENGTH)
-    )
-    keyed = texts.withColumn("text_key", F.sha2("residues", 256))
-    # the earliest record of each text, and whether another one holds the same
-    heads = keyed.groupBy("text_key").agg(F.min("record_id").alias("text_id"), F.max("record_id").alias("last_id"))
-    first = keyed.join(heads, (F.col("record_id") == F.col("text_id")) & (keyed.text_key == heads.text_key)).select(
-        "text_id", "residues", (F.col("last_id") != F.col("text_id")).alias("copied")
-    )
-    # repeated rows of one record give one text each
-    first = cut(first.dropDuplicates(["text_id", "residues"]))
-    copied = keyed.join(heads.where("last_id != text_id").select("text_key"), "text_key", "left_semi")
+    texts, places = _placed(records, id_col, text_col)
+    firsts = places.where("record_id = text_id").select("record_id", "text_key", "text_id", (F.col("last_id") != F.col("text_id")).alias("copied"))
+    # repeated rows of one record are cut alike, so they add nothing that distinct units don't hold
+    first = texts.join(firsts, ["record_id", "text_key"])
+    copied = texts.join(places.where("last_id != text_id").select("record_id", "text_key"), ["record_id", "text_key"], "left_semi")
     whole = copied.select("record_id", "residues").mapInArrow(_whole_texts, _SPAN_SCHEMA)
 
-    cut_units = cut(first.select("text_id", "residues").mapInArrow(_cut_units, _UNIT_SCHEMA))
-    distinct = cut_units.groupBy("anchor", "digest").agg(
+    cut_units = cut(spread(first.select("text_id", "residues")).mapInArrow(_cut_units, _UNIT_SCHEMA))
+    anchors = cut_units.groupBy("anchor").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a != b").select("anchor")
+    few = cut(cut_units.join(cut(anchors), "anchor", "left_semi"))
+    distinct = few.groupBy("anchor", "digest").agg(
         F.min("text_id").alias("text_id"),
         F.max("text_id").alias("last_id"),
         F.min(F.struct("text_id", "start", "n_windows")).alias("unit"),
@@ -203,19 +218,19 @@ def shared_spans(records: DataFrame, id_col: str = "record_id", text_col: str =
     mixed = per_anchor.where("n > 1 AND n_single > 0").select("anchor")
     shared = distinct.where("text_id != last_id").select("anchor", "digest")
     # stretches of units that stand in several texts
-    hits = cut_units.join(shared, ["anchor", "digest"], "left_semi").select("text_id", "start", (F.col("start") + F.col("n_windows") - 1 + LENGTH).alias("end"))
+    hits = few.join(shared, ["anchor", "digest"], "left_semi").select("text_id", "start", (F.col("start") + F.col("n_windows") - 1 + LENGTH).alias("end"))
     # units to compare window by window: those of one text ask, one copy of each shared unit answers
-    asking = cut_units.join(mixed, "anchor", "left_semi").join(shared, ["anchor", "digest"], "left_anti")
+    asking = few.join(mixed, "anchor", "left_semi").join(shared, ["anchor", "digest"], "left_anti")
     asking = asking.select("text_id", "start", "n_windows", F.lit(True).alias("asks"))
     answering = distinct.where("text_id != last_id").join(mixed, "anchor", "left_semi").select("unit.*", F.lit(False).alias("asks"))
-    wanted = asking.unionByName(answering).groupBy("text_id").agg(F.collect_list(F.struct("start", "n_windows", "asks")).alias("units"))
-    windows = cut(first.select("text_id", "residues").join(wanted, "text_id").mapInArrow(_cut_windows, _WINDOW_SCHEMA))
+    wanted = cut(asking.unionByName(answering).groupBy("text_id").agg(F.collect_set(F.struct("start", "n_windows", "asks")).alias("units")))
+    windows = cut(spread(first.select("text_id", "residues").join(wanted, "text_id")).mapInArrow(_cut_windows, _WINDOW_SCHEMA))
     both = windows.groupBy("window").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b"), F.min("asks").alias("every_asks"))
     both = both.where((F.col("a") != F.col("b")) | ~F.col("every_asks")).select("window")
     single = windows.where("asks").join(both, "window", "left_semi").select("text_id", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    pieces = hits.unionByName(single).join(first.where("NOT copied").select("text_id"), "text_id", "left_semi")
+    pieces = hits.unionByName(single).join(firsts.where("NOT copied").select("text_id"), "text_id", "left_semi")
     pieces = pieces.select(F.col("text_id").alias("record_id"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
-    return _merged(whole.unionByName(pieces))
+    return _islands(whole.unionByName(pieces))
 
 
 def shared_share(records: DataFrame, spans: DataFrame) -> DataFrame:
@@ -230,26 +245,25 @@ def _span_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Rows (text_id, last_id, residues, spans) to one row for each valid window within the spans."""
     for batch in batches:
         for text_id, last_id, residues, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            text = _encode(residues.as_py())
+            text = Letters(residues.as_py())
             for span in spans.as_py():
                 for lo in range(span["span_start"], span["span_end"] - LENGTH + 1, 50_000):
-                    part = text[lo : min(lo + 50_000 + LENGTH - 1, span["span_end"])]
-                    at = np.flatnonzero(valid_windows(np.frombuffer(part, np.uint8)))
-                    digests = [xxhash.xxh3_128_digest(part[p : p + LENGTH]) for p in at.tolist()]
+                    at = lo + np.flatnonzero(valid_windows(text.codes[lo : min(lo + 50_000 + LENGTH - 1, span["span_end"])]))
+                    digests = [text.digest(p, p + LENGTH) for p in at.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([text_id] * len(at), pa.int64()), pa.array([last_id] * len(at), pa.int64()), pa.array(at + lo, pa.int64()), pa.array(digests, pa.binary())],
+                        [pa.array([text_id] * len(at), pa.int64()), pa.array([last_id] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(digests, pa.binary())],
                         names=["text_id", "last_id", "at", "window"],
                     )
 
 
-def _islands(pieces: DataFrame) -> DataFrame:
-    """Stretches (record_id, span_start, span_end, kept_in) of a record that overlap or touch, with the smallest ``kept_in``."""
+def _islands(pieces: DataFrame, *least: str) -> DataFrame:
+    """Stretches (record_id, span_start, span_end) of a record that overlap or touch, with the smallest of the columns ``least``."""
     order = Window.partitionBy("record_id").orderBy("span_start", "span_end")
     reach = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = pieces.withColumn("fresh", (reach.isNull() | (F.col("span_start") > reach)).cast("int"))
     marked = marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.groupBy("record_id", "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.min("kept_in").alias("kept_in"))
-    return out.select("record_id", "span_start", "span_end", "kept_in")
+    out = marked.groupBy("record_id", "island").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), *[F.min(c).alias(c) for c in least])
+    return out.select("record_id", "span_start", "span_end", *least)
 
 
 def later_copies(records: DataFrame, spans: DataFrame) -> DataFrame:
@@ -260,17 +274,16 @@ def later_copies(records: DataFrame, spans: DataFrame) -> DataFrame:
     the others go, but for letters that first places cover. ``kept_in`` is the earliest record that holds a
     window of the stretch; offsets are those of the original.
     """
-    texts = records.select("record_id", "residues").where(F.length("residues") >= LENGTH).join(spans.select("record_id").distinct(), "record_id", "left_semi")
-    keyed = texts.withColumn("text_key", F.sha2("residues", 256))
-    heads = keyed.groupBy("text_key").agg(F.min("record_id").alias("text_id"), F.max("record_id").alias("last_id"))
+    texts, places = _placed(records, "record_id", "residues")
     listed = spans.groupBy("record_id").agg(F.collect_list(F.struct("span_start", "span_end")).alias("spans"))
-    first = keyed.join(heads, "text_key").where("record_id = text_id").dropDuplicates(["record_id", "residues"]).join(listed, "record_id")
+    first = texts.join(places.where("record_id = text_id"), ["record_id", "text_key"]).join(listed, "record_id")
+    first = first.dropDuplicates(["record_id", "text_key"])
     windows = cut(spread(first.select("text_id", "last_id", "residues", "spans")).mapInArrow(_span_windows, "text_id long, last_id long, at long, window binary"))
     owners = windows.groupBy("window").agg(F.min(F.struct("text_id", "at")).alias("first"), F.max("last_id").alias("last_id"))
     owners = owners.where(F.col("first.text_id") != F.col("last_id")).select("window", F.col("first.text_id").alias("kept_in"), F.col("first.at").alias("first_at"))
     held = cut(windows.drop("last_id").join(owners, "window").select(F.col("text_id").alias("record_id"), "at", "kept_in", "first_at"))
     end = F.col("at") + LENGTH
-    earlier = _islands(held.where("kept_in < record_id").select("record_id", F.col("at").alias("span_start"), end.alias("span_end"), "kept_in"))
+    earlier = _islands(held.where("kept_in < record_id").select("record_id", F.col("at").alias("span_start"), end.alias("span_end"), "kept_in"), "kept_in")
     # a window repeated within its earliest record, without the letters of the first places around it
     own = held.where("kept_in = record_id")
     repeating = own.where("at > first_at").select("record_id").distinct()
@@ -280,7 +293,7 @@ def later_copies(records: DataFrame, spans: DataFrame) -> DataFrame:
     own = own.join(repeating, "record_id", "left_semi").withColumns({"before": before, "after": after}).where("at > first_at")
     own = own.select("record_id", F.greatest("at", F.col("before") + LENGTH).alias("span_start"), F.least(end, "after").alias("span_end"), "kept_in").where("span_start < span_end")
     # all of a whole text held by an earlier record goes; stretches that stand still earlier tell where
-    copies = keyed.join(heads, "text_key").where("record_id > text_id").select("record_id", "text_id").distinct()
+    copies = places.where("record_id > text_id").select("record_id", "text_id").distinct()
     whole = spans.join(copies, "record_id").select("record_id", "span_start", "span_end", F.col("text_id").alias("kept_in"))
     stands = earlier.withColumnRenamed("record_id", "text_id").join(copies, "text_id").select("record_id", "span_start", "span_end", "kept_in")
-    return _islands(earlier.unionByName(own).unionByName(whole).unionByName(stands))
+    return _islands(earlier.unionByName(own).unionByName(whole).unionByName(stands), "kept_in")

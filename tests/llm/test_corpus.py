@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -98,9 +99,24 @@ def test_later_copies_equal_brute_force(spark):
     assert {tuple(x) for x in shared_spans.later_copies(twice, shared_spans.shared_spans(twice)).collect()} == set(got)
 
 
+def test_letters_of_all_scripts_count(spark):
+    r = random.Random(2)
+    common = "".join(r.choice("acgtéß") for _ in range(200))
+    rows = [(1, "日" * 100), (2, "本" * 100), (3, "日" * 30 + common + "本"), (4, "ü" + common), (5, "𝛼" * 60 + common[50:] + "?" * 100), (6, "?" * 90), (7, "日" * 90)]
+    got = {tuple(x) for x in shared_spans.shared_spans(spark.createDataFrame(rows, "record_id long, residues string")).collect()}
+    assert got == brute_spans(rows) and (1, 0, 100) in got and not any(x[0] == 2 for x in got)
+
+
+def test_many_pieces_of_one_record_merge_in_linear_time(spark):
+    n = 1_000_000
+    pieces = spark.range(n).select(F.lit(1).cast("long").alias("record_id"), (F.col("id") * 10).alias("span_start"), (F.col("id") * 10 + F.when(F.col("id") % 100 == 0, 5).otherwise(12)).alias("span_end"))
+    began = time.monotonic()
+    assert shared_spans._islands(pieces).count() == n // 100 + 1 and time.monotonic() - began < 60
+
+
 def test_blocks_do_not_matter(monkeypatch):
     r = random.Random(1)
-    text = "".join(r.choice("acgt") for _ in range(1500)).encode()
+    text = shared_spans.Letters("".join(r.choice("acgt") for _ in range(1500)))
     covered = sorted(p for a, n, _, _ in shared_spans.units(text) for p in range(a, a + n))
     assert covered == list(range(len(text) - 79))
     monkeypatch.setattr(shared_spans, "BLOCK", 100)
