@@ -1,13 +1,16 @@
-"""Session helpers: table loading, Python-function packaging and lineage cuts."""
+"""Session helpers: table loading and lineage cuts."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch for functions that take whole records or pages.
-LARGE_ROW_BATCH = 256
+#: Tables written by :func:`cut`.
+_CUTS: list[str] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "seqloom") -> SparkSession:
@@ -28,27 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
-    else:
+        return shared
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    shared = tempfile.mkdtemp(prefix="seqloom-")
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the copy.
+    """Write ``df`` as a table to the shared folder and go on from it.
 
-    Used where one result feeds several branches: the branches read the copy instead of
-    computing it again, and a lost executor costs a re-read, not a re-computation.
+    Used where one result feeds several branches: the branches read the table instead of computing it again, a lost
+    executor costs a re-read, not a re-computation, and the size of the table is known to the planner,
+    which broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``. :func:`clear_cuts` removes the tables.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(df.sparkSession)}/seqloom-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _CUTS.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove the tables written by :func:`cut`; results that read them must be done with."""
+    jvm = spark.sparkContext._jvm
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
