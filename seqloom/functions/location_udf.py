@@ -1,7 +1,7 @@
 """Location functions over text columns for every kind of location, as Arrow-batched functions.
 
 Results that can't be had are null; ``find_bounds`` and ``extract`` also tell why in ``error``:
-syntax, ambiguous, external, empty, out_of_bounds or recursion. For single ranges prefer
+syntax, ambiguous, external, empty or out_of_bounds. For single ranges prefer
 :mod:`seqloom.functions.native`; :func:`location_text` style helpers here combine both.
 """
 
@@ -30,7 +30,7 @@ def _try(fn, *args):
         return None
     try:
         return fn(*args)
-    except (loc.LocationError, RecursionError):
+    except loc.LocationError:
         return None
 
 

@@ -11,6 +11,8 @@ A location is a tuple whose first item names its kind::
 
 Texts count from 1 with inclusive ends. Simple locations (one range, perhaps complemented) are
 handled by :mod:`seqloom.functions.native`; this module is the general path and its test partner.
+
+Locations may be nested to any depth: nothing here calls itself, all walks keep their own stack.
 """
 
 from __future__ import annotations
@@ -20,8 +22,6 @@ from collections.abc import Callable
 
 LISTS = {"join": "join", "order": "order", "bond": "bond", "one-of": "one_of"}
 LIST_TEXT = {v: k for k, v in LISTS.items()}
-#: Levels of nesting that are read; deeper texts count as unreadable.
-MAX_DEPTH = 120
 _I64 = 2**63
 
 _INT = r"[+-]?[0-9]+"
@@ -35,7 +35,7 @@ _OPEN = re.compile(r"(join|order|bond|one-of|complement)\(")
 
 
 class LocationError(ValueError):
-    """``code``: ambiguous, external, recursion, empty, out_of_bounds or syntax."""
+    """``code``: ambiguous, external, empty, out_of_bounds or syntax."""
 
     def __init__(self, code: str, location=None):
         super().__init__(code if location is None else f"{code}: {format_location(location)}")
@@ -51,29 +51,47 @@ def _int(text: str) -> int | None:
 
 
 class _Reader:
-    """Ordered-choice reader. Each place is read at most once per mode, so the time is linear."""
+    """Ordered-choice reader. Each place is read at most once per mode, so the time is linear.
+
+    ``_read`` is a generator that asks for the location at another place by yielding (place, external); :meth:`read`
+    keeps the open ones on a stack of its own.
+    """
 
     def __init__(self, text: str, strict: bool):
         self.text, self.strict, self.seen = text, strict, {}
 
-    def read(self, at: int, depth: int, external: bool = True):
-        if depth > MAX_DEPTH:
-            raise LocationError("recursion")
-        key = (at, external)
-        if key not in self.seen:
-            self.seen[key] = self._read(at, depth, external)
-        return self.seen[key]
+    def read(self, at: int = 0, external: bool = True):
+        seen, found = self.seen, None
+        open_ones = [((at, external), self._read(at, external))]
+        while open_ones:
+            key, reader = open_ones[-1]
+            try:
+                wanted = reader.send(found)
+            except StopIteration as done:
+                found = seen[key] = done.value
+                open_ones.pop()
+                continue
+            found = seen.get(wanted)
+            if wanted not in seen:
+                open_ones.append((wanted, self._read(*wanted)))
+        return found
 
-    def _read(self, at: int, depth: int, external: bool):
+    def _read(self, at: int, external: bool):
         text = self.text
         if m := _SPAN.match(text, at):
             a, b = _int(m[2]), _int(m[4])
             if a is not None and b is not None:
                 return ("range", a - 1, b, bool(m[1]), bool(m[3])), m.end()
         if m := _OPEN.match(text, at):
-            found = self._operator(m[1], m.end(), depth)
-            if found:
-                return found
+            items, end = [], m.end()
+            while inner := (yield (end, True)):
+                items.append(inner[0])
+                end = inner[1]
+                if text.startswith(")", end):
+                    return (("complement", items[0]) if m[1] == "complement" else (LISTS[m[1]], tuple(items))), end + 1
+                if m[1] == "complement" or not text.startswith(",", end):
+                    break
+                end += 1
         if m := _BETWEEN.match(text, at):
             a, b = _int(m[1]), _int(m[2])
             if a is not None and b is not None and (abs(a - b) == 1 or (a == 1) != (b == 1)):
@@ -85,38 +103,16 @@ class _Reader:
                 return ("gap", m[1] or "unknown", None), m.end()
             if (n := _int(m[1])) is not None:
                 return ("gap", "known", n), m.end()
-        return self._external(at, depth) if external else None
-
-    def _operator(self, name: str, at: int, depth: int):
-        if name == "complement":
-            inner = self.read(at, depth + 1)
-            if inner and self.text.startswith(")", inner[1]):
-                return ("complement", inner[0]), inner[1] + 1
-            return None
-        items = []
-        while inner := self.read(at, depth + 1):
-            items.append(inner[0])
-            at = inner[1]
-            if self.text.startswith(")", at):
-                return (LISTS[name], tuple(items)), at + 1
-            if not self.text.startswith(",", at):
-                return None
-            at += 1
-        return None
-
-    def _external(self, at: int, depth: int):
-        m = (_PLAIN_ACCESSION if self.strict else _ACCESSION).match(self.text, at)
-        if not m:
+        if not external or not (m := (_PLAIN_ACCESSION if self.strict else _ACCESSION).match(text, at)):
             return None
-        if self.text.startswith(":", m.end()):
-            if inner := self.read(m.end() + 1, depth + 1, external=False):
-                return ("external", m[0], inner[0]), inner[1]
+        if text.startswith(":", m.end()) and (inner := (yield (m.end() + 1, False))):
+            return ("external", m[0], inner[0]), inner[1]
         return None if self.strict else (("external", m[0], None), m.end())
 
 
 def parse_prefix(text: str):
     """(location, characters read). Text after a complete location is left over, not an error."""
-    found = _Reader(text, False).read(0, 0)
+    found = _Reader(text, False).read()
     if not found:
         raise LocationError("syntax")
     return found
@@ -130,14 +126,46 @@ def is_location(text: str | None) -> bool:
     """Whether the text as a whole is a location; an external part needs its colon and location."""
     if not text:
         return False
-    try:
-        found = _Reader(text, True).read(0, 0)
-    except LocationError:
-        return False
+    found = _Reader(text, True).read()
     return bool(found) and found[1] == len(text)
 
 
-def format_location(loc) -> str:
+def parts_of(loc, inside_external: bool = False) -> tuple:
+    kind = loc[0]
+    if kind == "complement":
+        return (loc[1],)
+    if kind == "external":
+        return (loc[2],) if inside_external and loc[2] is not None else ()
+    return loc[1] if kind in LIST_TEXT else ()
+
+
+def fold(loc, leave: Callable, enter: Callable | None = None, inside_external: bool = False):
+    """Value of a location from the values of its parts: ``leave(node, values)``, parts first, in order.
+
+    ``enter(node)`` may put another node in place of one before its parts are looked at.
+    """
+    open_ones: list[tuple] = []
+    todo = enter(loc) if enter else loc
+    while True:
+        parts = parts_of(todo, inside_external)
+        if parts:
+            open_ones.append((todo, parts, []))
+        else:
+            value = leave(todo, [])
+            while True:
+                if not open_ones:
+                    return value
+                node, parts, values = open_ones[-1]
+                values.append(value)
+                if len(values) < len(parts):
+                    break
+                open_ones.pop()
+                value = leave(node, values)
+        _, parts, values = open_ones[-1]
+        todo = enter(parts[len(values)]) if enter else parts[len(values)]
+
+
+def _format(loc, parts: list[str]) -> str:
     kind = loc[0]
     if kind == "range":
         _, a, b, before, after = loc
@@ -147,49 +175,54 @@ def format_location(loc) -> str:
     if kind == "between":
         return f"{loc[1] + 1}^{loc[2] + 1}"
     if kind == "complement":
-        return f"complement({format_location(loc[1])})"
+        return f"complement({parts[0]})"
     if kind == "external":
-        return loc[1] if loc[2] is None else f"{loc[1]}:{format_location(loc[2])}"
+        return loc[1] if loc[2] is None else f"{loc[1]}:{parts[0]}"
     if kind == "gap":
         return f"gap({ {'known': loc[2], 'unknown': '', 'unk100': 'unk100'}[loc[1]]})"
-    return f"{LIST_TEXT[kind]}({','.join(map(format_location, loc[1]))})"
+    return f"{LIST_TEXT[kind]}({','.join(parts)})"
 
 
-def find_bounds(loc) -> tuple[int, int]:
-    """Start and end. A join or order gives the start of its first and the end of its last part, so
-    start > end where it runs over the origin; bond and one-of give the outermost of their parts."""
+def format_location(loc) -> str:
+    return fold(loc, _format, inside_external=True)
+
+
+def _bounds(loc, parts: list):
+    """Bounds or the error of a node; errors of parts that don't matter are passed over."""
     kind = loc[0]
     if kind == "range":
         return loc[1], loc[2]
     if kind == "between":
         return loc[1], loc[2] + 1
     if kind == "complement":
-        return find_bounds(loc[1])
-    if kind in ("join", "order"):
-        if not loc[1]:
-            raise LocationError("empty")
-        return find_bounds(loc[1][0])[0], find_bounds(loc[1][-1])[1]
-    if kind in ("bond", "one_of"):
-        found = []
-        for part in loc[1]:
-            try:
-                found.append(find_bounds(part))
-            except LocationError:
-                continue
-        if not found:
-            raise LocationError("empty")
-        return min(a for a, _ in found), max(b for _, b in found)
-    raise LocationError("ambiguous", loc)
+        return parts[0]
+    if kind in LIST_TEXT:
+        good = [p for p in parts if not isinstance(p, LocationError)]
+        if kind in ("join", "order") and parts:
+            wrong = next((p for p in (parts[0], parts[-1]) if isinstance(p, LocationError)), None)
+            return wrong or (parts[0][0], parts[-1][1])
+        return (min(a for a, _ in good), max(b for _, b in good)) if good else LocationError("empty")
+    return LocationError("ambiguous", loc)
+
+
+def find_bounds(loc) -> tuple[int, int]:
+    """Start and end. A join or order gives the start of its first and the end of its last part, so
+    start > end where it runs over the origin; bond and one-of give the outermost of their parts."""
+    found = fold(loc, _bounds)
+    if isinstance(found, LocationError):
+        raise found
+    return found
+
+
+def _rebuilt(loc, parts: list):
+    if loc[0] == "complement":
+        return ("complement", parts[0])
+    return (loc[0], tuple(parts)) if loc[0] in LIST_TEXT else loc
 
 
 def rewrite(loc, fn: Callable):
     """Apply ``fn`` to a node, then go on into the parts of what it returned."""
-    loc = fn(loc)
-    if loc[0] == "complement":
-        return ("complement", rewrite(loc[1], fn))
-    if loc[0] in LIST_TEXT:
-        return (loc[0], tuple(rewrite(part, fn) for part in loc[1]))
-    return loc
+    return fold(loc, _rebuilt, fn)
 
 
 def map_positions(loc, fn: Callable[[int], int]):
@@ -208,9 +241,12 @@ def toggle_complement(loc):
 
 
 def _spliced(parts):
-    for part in parts:
+    """The parts with those of joins among them, at any depth, in their place."""
+    todo = list(reversed(parts))
+    while todo:
+        part = todo.pop()
         if part[0] == "join":
-            yield from _spliced(part[1])
+            todo.extend(reversed(part[1]))
         else:
             yield part
 
@@ -247,24 +283,27 @@ def simplify(loc):
 
 def truncate(loc, start: int, end: int):
     """The part of the location within [start, end), or None. Cut ends lose their fuzzy flag."""
-    kind = loc[0]
-    if kind == "range":
-        _, a, b, before, after = loc
-        starts_in, ends_in = start <= a < end, start < b <= end
-        if starts_in or ends_in:
-            return ("range", a if starts_in else start, b if ends_in else end, before and starts_in, after and ends_in)
-        return ("range", start, end, False, False) if a <= start and b >= end else None
-    if kind == "between":
-        return loc if start <= loc[1] < end or start <= loc[2] < end else None
-    if kind == "complement":
-        inner = truncate(loc[1], start, end)
-        return inner and ("complement", inner)
-    if kind in LIST_TEXT:
-        kept = tuple(part for part in (truncate(x, start, end) for x in loc[1]) if part)
-        if not kept:
-            return None
-        return simplify_once((kind, kept)) if kind == "join" else (kind, kept)
-    return loc
+
+    def cut(node, parts: list):
+        kind = node[0]
+        if kind == "range":
+            _, a, b, before, after = node
+            starts_in, ends_in = start <= a < end, start < b <= end
+            if starts_in or ends_in:
+                return ("range", a if starts_in else start, b if ends_in else end, before and starts_in, after and ends_in)
+            return ("range", start, end, False, False) if a <= start and b >= end else None
+        if kind == "between":
+            return node if start <= node[1] < end or start <= node[2] < end else None
+        if kind == "complement":
+            return parts[0] and ("complement", parts[0])
+        if kind in LIST_TEXT:
+            kept = tuple(part for part in parts if part)
+            if not kept:
+                return None
+            return simplify_once((kind, kept)) if kind == "join" else (kind, kept)
+        return node
+
+    return fold(loc, cut)
 
 
 def wrap(loc, length: int):
@@ -315,40 +354,54 @@ def revcomp_text(residues: str) -> str:
 
 def extract(loc, residues: str, fetch: Callable[[str], str | None] | None = None) -> str:
     """The letters a location stands for. ``fetch`` gives the residues of another record."""
-    kind = loc[0]
-    if kind == "range":
-        if loc[1] < 0 or loc[2] > len(residues) or loc[1] > loc[2]:
-            raise LocationError("out_of_bounds", loc)
-        return residues[loc[1] : loc[2]]
-    if kind == "join":
-        return "".join(extract(part, residues, fetch) for part in loc[1])
-    if kind == "complement":
-        return revcomp_text(extract(loc[1], residues, fetch))
-    if kind == "external":
-        other = fetch(loc[1]) if fetch else None
-        if other is None:
-            raise LocationError("external", loc)
-        return other if loc[2] is None else extract(loc[2], other, fetch)
-    raise LocationError("ambiguous", loc)
+    texts = [residues]
+
+    def enter(node):
+        if node[0] == "external":
+            other = fetch(node[1]) if fetch else None
+            if other is None:
+                raise LocationError("external", node)
+            texts.append(other)
+        elif node[0] in LIST_TEXT and node[0] != "join":
+            raise LocationError("ambiguous", node)
+        return node
+
+    def leave(node, parts: list[str]) -> str:
+        kind = node[0]
+        if kind == "range":
+            if node[1] < 0 or node[2] > len(texts[-1]) or node[1] > node[2]:
+                raise LocationError("out_of_bounds", node)
+            return texts[-1][node[1] : node[2]]
+        if kind == "join":
+            return "".join(parts)
+        if kind == "complement":
+            return revcomp_text(parts[0])
+        if kind == "external":
+            other = texts.pop()
+            return other if node[2] is None else parts[0]
+        raise LocationError("ambiguous", node)
+
+    return fold(loc, leave, enter, inside_external=True)
 
 
 def leaves(loc, reverse: bool = False, within: str | None = None):
     """(accession, kind, start, end, strand) of each leaf in reading order."""
-    kind = loc[0]
-    if kind == "complement":
-        yield from leaves(loc[1], not reverse, within)
-    elif kind in LIST_TEXT:
-        for part in reversed(loc[1]) if reverse else loc[1]:
-            yield from leaves(part, reverse, within)
-    elif kind == "external":
-        if loc[2] is None:
-            yield loc[1], "whole", None, None, -1 if reverse else 1
+    todo = [(loc, reverse, within)]
+    while todo:
+        node, back, home = todo.pop()
+        kind, strand = node[0], -1 if back else 1
+        if kind == "complement":
+            todo.append((node[1], not back, home))
+        elif kind in LIST_TEXT:
+            todo.extend((part, back, home) for part in (node[1] if back else reversed(node[1])))
+        elif kind == "external" and node[2] is not None:
+            todo.append((node[2], back, node[1]))
+        elif kind == "external":
+            yield node[1], "whole", None, None, strand
+        elif kind == "gap":
+            yield home, "gap", None, node[2], strand
         else:
-            yield from leaves(loc[2], reverse, loc[1])
-    elif kind == "gap":
-        yield within, "gap", None, loc[2], -1 if reverse else 1
-    else:
-        yield within, kind, loc[1], loc[2], -1 if reverse else 1
+            yield home, kind, node[1], node[2], strand
 
 
 NODE_FIELDS = ("op", "parent", "start", "end", "before", "after", "accession", "gap_kind", "gap_len")
@@ -357,12 +410,10 @@ NODE_FIELDS = ("op", "parent", "start", "end", "before", "after", "accession", "
 def to_nodes(loc) -> list[dict]:
     """Pre-order list of flat nodes; ``parent`` is an index, the root's is null."""
     out: list[dict] = []
-
-    def add(node, parent):
-        row = dict.fromkeys(NODE_FIELDS)
-        row |= {"op": node[0], "parent": parent}
-        at = len(out)
-        out.append(row)
+    todo = [(loc, None)]
+    while todo:
+        node, parent = todo.pop()
+        row = dict.fromkeys(NODE_FIELDS) | {"op": node[0], "parent": parent}
         if node[0] == "range":
             row |= {"start": node[1], "end": node[2], "before": node[3], "after": node[4]}
         elif node[0] == "between":
@@ -371,13 +422,8 @@ def to_nodes(loc) -> list[dict]:
             row |= {"gap_kind": node[1], "gap_len": node[2]}
         elif node[0] == "external":
             row["accession"] = node[1]
-            if node[2] is not None:
-                add(node[2], at)
-        else:
-            for part in [node[1]] if node[0] == "complement" else node[1]:
-                add(part, at)
-
-    add(loc, None)
+        todo.extend((part, len(out)) for part in reversed(parts_of(node, inside_external=True)))
+        out.append(row)
     return out
 
 

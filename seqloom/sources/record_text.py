@@ -132,7 +132,7 @@ def read_date(text: str | None) -> dict | None:
 
 def _locus(cur: _Cursor) -> dict:
     if not re.compile(r"LOCUS[ \t]").match(cur.text, cur.at):
-        raise RecordError("Error while parsing LOCUS")
+        raise RecordError("unreadable LOCUS line")
     out = dict.fromkeys(("name", "date", "locus_len", "molecule_type")) | {"topology": "linear", "division": "UNK"}
     for form in (_FULL, _TRADITIONAL):
         m = form.match(cur.text, cur.at)
@@ -143,7 +143,7 @@ def _locus(cur: _Cursor) -> dict:
             cur.at = end
             rest = cur.line()
             if rest is None or rest.strip(" \t"):
-                raise RecordError("Error while parsing LOCUS")
+                raise RecordError("unreadable LOCUS line")
             return out
     cur.warnings.append(f"unreadable LOCUS: {cur.line()}")
     return out
@@ -169,7 +169,7 @@ def _header(cur: _Cursor, out: dict) -> None:
         value = cur.field(0, name, "\n") if name else None
         if value is not None:
             if name == "DEFINITION" and out["definition"] is not None:
-                raise RecordError("Field 'DEFINITION' occurred twice!")
+                raise RecordError("a second DEFINITION")
             out[name.lower()] = value
         elif (value := cur.field(0, "SOURCE", "\n")) is not None:
             out["source"] = {"source": value, "organism": cur.field(2, "ORGANISM", "\n")}
@@ -246,14 +246,14 @@ def _residues(cur: _Cursor, declared: int | None, ended: bool) -> str:
     if stop >= 0:
         body = body[:stop]
     if m := _NOT_RESIDUE.search(body):
-        raise RecordError(f"Unexpected char '{m[0]}' ({ord(m[0])}) in sequence")
+        raise RecordError(f"no residue: {m[0]!r} at {m.start()} of the sequence block")
     letters = re.sub(r"[0-9 \r\n]+", "", body)
     cur.at += len(body)
     if declared is not None and declared != len(letters):
-        raise RecordError(f"Got {len(letters)} bytes of sequence, LOCUS promised {declared}" if ended else "Unexpected EOF!")
+        raise RecordError(f"{len(letters)} letters where LOCUS declares {declared}" if ended else "the file ends within the sequence")
     if not ended:
         if declared is None:
-            raise RecordError("Unexpected EOF!")
+            raise RecordError("the file ends within the sequence")
         cur.warnings.append("end of file within the sequence; its length is right")
     return letters
 
@@ -271,7 +271,7 @@ def read_record(text: str, ended: bool = True) -> dict:
         while cur.at < len(cur.text) and not cur.starts("LOCUS"):
             line = cur.line()
             if line is None or cur.at >= len(cur.text):
-                raise RecordError("Unexpected EOF")
+                raise RecordError("no LOCUS line")
             if line.strip():
                 cur.warnings.append(f"line before LOCUS: {line}")
         out |= _locus(cur)
@@ -295,7 +295,7 @@ def read_record(text: str, ended: bool = True) -> dict:
             out["residues"] = _residues(cur, out["locus_len"], ended)
         rest = cur.text[cur.at :]
         if rest.strip():
-            raise RecordError(f"Error while parsing [{rest[:50]!r}]")
+            raise RecordError(f"unreadable from here on: {rest[:50]!r}")
     except RecordError as e:
         empty = {k: list(v) if isinstance(v, tuple) else v for k, v in EMPTY.items()}
         return out | empty | {"_warnings": cur.warnings, "_error": str(e), "_corrupt_record": text}

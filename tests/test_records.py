@@ -20,20 +20,28 @@ def feature(text, kind="CDS", **quals):
 
 
 def test_residue_expressions(spark):
-    df = spark.createDataFrame([("NnGaTcUu-",)], "s string")
-    assert df.select(native.revcomp("s")).first()[0] == "-uUgAtCnN"
-    cases = [(0, 10), (0, 11), (-1, 10), (-1, 11), (-1, 21), (7, 3), (5, 5)]
-    want = ["0123456789", "01234567890", "90123456789", "901234567890", "9012345678901234567890", "789012", "5678901234"]
-    df = spark.createDataFrame(cases, "a long, b long").withColumn("r", F.lit("0123456789"))
-    assert [r[0] for r in df.select(native.extract_range_seq("r", "a", "b", F.lit(True))).collect()] == want
-    linear = df.select(native.extract_range_seq("r", "a", "b", F.lit(False))).collect()
-    assert [r[0] for r in linear] == ["0123456789", None, None, None, None, None, ""]
-    r = spark.range(1).select(
-        native.range_to_location(F.lit(5), F.lit(11), F.lit(10), F.lit(True)), native.range_to_location(F.lit(5), F.lit(15), F.lit(10), F.lit(True)),
-        native.range_to_location(F.lit(0), F.lit(10), F.lit(10), F.lit(False)), native.range_to_location(F.lit(3), F.lit(2), F.lit(10), F.lit(False)),
-        native.rotate(F.lit("abcde"), F.lit(-2)), native.unwrap_range(F.lit(0), F.lit(1), F.lit(0), F.lit(True)),
-    ).first()
-    assert tuple(r) == ("join(6..10,1)", "join(6..10,1..5)", "1..10", None, "deabc", None)
+    """Ranges against walking letter by letter from the start, once around where start and end meet."""
+    letters = "gattyrcNKm-"
+    df = spark.createDataFrame([(letters + "xX",)], "s string")
+    assert df.select(native.revcomp("s")).first()[0] == "Xx" + "-kMNgyraatc"
+    n = len(letters)
+    ends = [(a, b) for a in range(-n - 3, 2 * n, 3) for b in range(-n - 2, 3 * n, 4)]
+
+    def walked(a, b, circular):
+        if not circular:
+            return letters[a:b] if 0 <= a <= b <= n and a < n else None
+        size = b - a if a < b else b + n - a
+        return "".join(letters[(a + i) % n] for i in range(size)) if size > 0 else None
+
+    rows = spark.createDataFrame([(a, b, c) for a, b in ends for c in (True, False)], "a long, b long, c boolean").withColumn("r", F.lit(letters))
+    got = rows.select("a", "b", "c", native.extract_range_seq("r", "a", "b", F.col("c")).alias("t"), native.range_to_location("a", "b", F.lit(n), F.col("c")).alias("at"), native.rotate("r", "a").alias("turned")).collect()
+    for x in got:
+        assert x.t == walked(x.a, x.b, x.c), x
+        if x["at"] is not None:
+            assert loc.extract(loc.parse_location(x["at"]), letters) == x.t
+        assert x.turned == letters[x.a % n :] + letters[: x.a % n]
+    assert sum(x["at"] is not None for x in got) > len(got) / 4
+    assert spark.range(1).select(native.unwrap_range(F.lit(3), F.lit(4), F.lit(0), F.lit(True))).first()[0] is None
 
 
 def test_text_expressions(spark):
