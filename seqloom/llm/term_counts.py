@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import cut
+
 #: Rows of the sample that heavy terms are looked for in, and the most terms that are broadcast.
 SAMPLE_ROWS, HEAVY_TERMS = 100_000, 1024
 #: A term is heavy from this share of the sampled occurrences on.
@@ -117,11 +119,12 @@ def count_terms(features: DataFrame) -> DataFrame:
     rows = features.select("record_id", "feature_id", "kind", "qualifiers")
     sizes = features.groupBy("record_id").agg(F.count("*").alias("n")).where(F.col("record_id").isNotNull() & (F.col("n") > HOT_ROWS))
     hot = sizes.select(F.col("record_id").alias("hot_id"), F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("hot_shards"))
+    hot = cut(hot)  # a table of known size
     heavy = heavy_terms(rows)
     # at most one row for each HOT_ROWS rows of the table; the join is broadcast where that is small
-    told = rows.join(hot, F.col("record_id") == F.col("hot_id"), "left")
+    told = rows.select("record_id", "feature_id", feature_terms().alias("terms")).join(hot, F.col("record_id") == F.col("hot_id"), "left")
     shards = F.when(F.col("record_id").isNull(), NULL_SHARDS).otherwise(F.coalesce("hot_shards", F.lit(0)))
-    told = told.select(F.col("record_id").cast("long").alias("record_id"), F.col("feature_id").cast("long").alias("feature_id"), shards.cast("int").alias("shards"), feature_terms().alias("terms"))
+    told = told.select(F.col("record_id").cast("long").alias("record_id"), F.col("feature_id").cast("long").alias("feature_id"), shards.cast("int").alias("shards"), "terms")
     numbered = told.mapInArrow(_number_heavy(heavy), "record_id long, feature_id long, shards int, terms array<struct<number:int,term_class:string,term:string>>")
     shard = F.when(F.col("shards") > 0, F.pmod(F.xxhash64("feature_id"), F.col("shards"))).otherwise(F.lit(-1).cast("long"))
     placed = numbered.withColumn("shard", shard).repartition("record_id", "shard").dropDuplicates(["record_id", "shard", "feature_id"])
