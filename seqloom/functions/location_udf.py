@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from seqloom.functions import native
 from seqloom.operators import location as loc
 from seqloom.schema import LOCATION
-from seqloom.sources.genbank import GenbankTable, parse_genbank
+from seqloom.sources.genbank import GenbankTable, format_record, parse_genbank
 
 _BOUNDS = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("error", T.StringType())])
 _LETTERS = T.StructType([T.StructField("residues", T.StringType()), T.StructField("error", T.StringType())])
@@ -122,17 +122,10 @@ def gb_is_location(text: pd.Series) -> pd.Series:
     return text.map(loc.is_location)
 
 
-def bounds(text: Column) -> Column:
-    """struct(start, end): natively for single ranges; only other texts go to Python."""
-    simple = native.parse_simple(text)
-    rest = gb_find_bounds(F.when(simple.isNull(), text))
-    return F.when(simple.isNotNull(), F.struct(simple["start"].alias("start"), simple["end"].alias("end"))).otherwise(F.struct(rest["start"].alias("start"), rest["end"].alias("end")))
-
-
 def register(spark: SparkSession) -> None:
     """Make the functions usable from SQL."""
     functions = {
-        "gb_parse_location": gb_parse_location, "gb_format_location": gb_format_location, "gb_find_bounds": gb_find_bounds, "gb_simplify": gb_simplify,
+        "gb_parse_location": gb_parse_location, "gb_format_location": gb_format_location, "gb_format": format_record, "gb_find_bounds": gb_find_bounds, "gb_simplify": gb_simplify,
         "gb_truncate": gb_truncate, "gb_relocate": gb_relocate, "gb_wrap": gb_wrap, "gb_revcomp_location": gb_revcomp_location, "gb_extract": gb_extract,
         "gb_segments": gb_segments, "gb_region": gb_region, "gb_is_location": gb_is_location, "gb_parse_records": parse_genbank,
     }

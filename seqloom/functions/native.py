@@ -164,7 +164,7 @@ def parse_locus(line: _C) -> Column:
         return F.struct(
             g[0].alias("name"), g[1].try_cast("long").alias("locus_len"), g[2].alias("molecule_type"),
             F.coalesce(g[3], F.lit("linear")).alias("topology"), F.coalesce(g[4], F.lit("UNK")).alias("division"),
-            parse_date(g[5]).alias("date"), rest.rlike(r"\A[ \t]*\r?\n?\z").alias("ok"),
+            parse_date(g[5]).alias("date"), (rest.rlike(r"\A[ \t]*\r?\n?\z") & (g[5].isNull() | parse_date(g[5]).isNotNull())).alias("ok"),
         )
 
     nothing = F.lit(None).cast("string")

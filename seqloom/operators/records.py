@@ -94,7 +94,7 @@ def _map_features(records: DataFrame, fn, extra: list[Column]) -> DataFrame:
                 for f in row["features"] or ():
                     try:
                         found = fn(loc.parse_location(f["location_gb"]), *args)
-                    except (loc.LocationError, TypeError) as e:
+                    except loc.LocationError as e:
                         told.append(f"feature dropped: {e}")
                         continue
                     if found is not None:
@@ -110,13 +110,31 @@ def _map_features(records: DataFrame, fn, extra: list[Column]) -> DataFrame:
     return source.select(*own_columns(keep), "features", "_warnings", *named).mapInArrow(run, schema).select(*[f.name for f in schema.fields])
 
 
+def _known(*values) -> None:
+    """A record whose length isn't known has no coordinates to map to."""
+    if any(v is None for v in values):
+        raise loc.LocationError("no_length")
+
+
+def _reversed(x, length):
+    _known(length)
+    return loc.reverse_complement(x, length)
+
+
+def _turned(x, shift, length, turns):
+    if not turns:
+        return x
+    _known(shift, length)
+    return loc.relocate(x, shift, length, True)
+
+
 def own_columns(fields) -> list[str]:
     return [f.name for f in fields]
 
 
 def revcomp_records(records: DataFrame) -> DataFrame:
     """Reverse complement of residues and features; feature order and all metadata stay."""
-    out = _map_features(records, lambda x, n: loc.reverse_complement(x, n), [length_of()])
+    out = _map_features(records, _reversed, [length_of()])
     return out.withColumn("residues", native.revcomp("residues"))
 
 
@@ -125,7 +143,7 @@ def set_origin(records: DataFrame, origin: Column) -> DataFrame:
     turns = is_circular() & (F.length("residues") > 0)
     shift = F.when(turns, F.pmod(-origin, length_of())).otherwise(0)
     marked = records.withColumn("_origin", F.when(turns, F.pmod(origin.cast("long"), length_of())))
-    out = _map_features(marked, lambda x, d, n, c: loc.relocate(x, d, n, True) if c else x, [shift, length_of(), turns])
+    out = _map_features(marked, _turned, [shift, length_of(), turns])
     rotated = F.when(F.col("_origin").isNotNull(), native.rotate("residues", "_origin")).otherwise(F.col("residues"))
     return out.withColumn("residues", rotated).drop("_origin")
 
@@ -198,7 +216,8 @@ def resolve_externals(segments: DataFrame, records: DataFrame) -> DataFrame:
         F.substring(F.col("_text"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")),
     )
     error = (
-        F.when(F.col("kind").isin("gap", "between"), "ambiguous")
+        F.when(F.col("kind").isNull(), "syntax")
+        .when(F.col("kind").isin("gap", "between"), "ambiguous")
         .when(F.col("_text").isNull() & F.col("accession").isNotNull(), "external")
         .when(part.isNull(), "out_of_bounds")
     )
@@ -207,21 +226,30 @@ def resolve_externals(segments: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def segments_of(features: DataFrame) -> DataFrame:
-    """One row for each leaf of each location: (feature_id, record_id, seg_idx, accession, kind, start, end, strand)."""
-    leaves = features.select("feature_id", "record_id", F.posexplode(gb_segments("location_gb")).alias("seg_idx", "leaf"))
-    return leaves.select("feature_id", "record_id", "seg_idx", "leaf.*")
+    """One row for each leaf of each location: (feature_id, record_id, seg_idx, accession, kind, start, end, strand).
+
+    Single ranges are read by expressions, other locations in Python. A location that is null or can't be read gives one
+    row without kind.
+    """
+    rows = _easy(features.select("feature_id", "record_id", "location_gb"), "location_gb")
+    x = F.col("_loc")
+    kind = F.array(F.struct(F.lit(None).cast("string").alias("accession"), F.lit("range").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.when(x["reverse"], -1).otherwise(1).cast("int").alias("strand")))
+    leaves = F.when(x.isNotNull(), kind).otherwise(F.col("_others"))
+    rows = rows.withColumn("_others", gb_segments("_rest"))
+    return rows.select("feature_id", "record_id", F.posexplode_outer(leaves).alias("seg_idx", "leaf")).select("feature_id", "record_id", "seg_idx", "leaf.*")
 
 
 def extract_locations(features: DataFrame, records: DataFrame) -> DataFrame:
     """(feature_id, residues, error) with externals resolved. Only joins and single ranges have a sequence.
 
-    Lists of other kinds (order, bond, one-of) are ambiguous, as are gaps and places between letters.
+    Lists of other kinds (order, bond, one-of) are ambiguous, as are gaps and places between letters; a null location
+    is an error of syntax.
     """
-    listed = features.where(F.col("location_gb").rlike(r"(^|[(,:])(order|bond|one-of)\("))
-    plain = features.where(~F.col("location_gb").rlike(r"(^|[(,:])(order|bond|one-of)\("))
+    is_listed = F.coalesce(F.col("location_gb").rlike(r"(^|[(,:])(order|bond|one-of)\("), F.lit(False))
+    listed, plain = features.where(is_listed), features.where(~is_listed)
     parts = resolve_externals(segments_of(plain), records)
     whole = parts.groupBy("feature_id").agg(
-        F.array_sort(F.collect_list(F.struct("seg_idx", "residues"))).alias("parts"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("seg_idx"))).alias("error")
+        F.array_sort(F.collect_list(F.struct("seg_idx", "residues"))).alias("parts"), F.min_by("error", F.when(F.col("error").isNotNull(), F.coalesce("seg_idx", F.lit(0)))).alias("error")
     )  # the leaves of one location
     joined = F.array_join(F.transform("parts", lambda p: p["residues"]), "")
     out = whole.select("feature_id", F.when(F.col("error").isNull(), joined).alias("residues"), "error")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import native
-from seqloom.functions.location_udf import bounds, gb_format_location, gb_parse_location, gb_segments
+from seqloom.functions.location_udf import gb_find_bounds, gb_format_location, gb_parse_location, gb_segments, register
 from seqloom.operators import records as ops
 from seqloom.operators import statistics as stats
 from seqloom.operators.regions import merge_spans, overlap_join
@@ -14,6 +14,8 @@ from seqloom.session import spread, table
 from seqloom.sources.genbank import parse_genbank, to_genbank
 
 REGION = 1000
+#: A list that holds no other list.
+FLAT_LIST = r"^(complement\()?(join|order|bond|one-of)\([^()]*(complement\([^()]*\)[^()]*)*\)+$"
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +82,28 @@ def location_round_trip(spark, sf_dir):
     return spread(_features(spark, sf_dir).select("feature_id", "location_gb")).select("feature_id", gb_format_location(gb_parse_location("location_gb")).alias("shown"))
 
 
+def location_segments(spark, sf_dir):
+    """Each part of each location in reading order, with its strand."""
+    return ops.segments_of(_features(spark, sf_dir).dropDuplicates(["feature_id"])).drop("record_id")
+
+
 def list_bounds(spark, sf_dir):
-    rows = _features(spark, sf_dir).where(F.col("location_gb").rlike(r"^(complement\()?(join|order)\([0-9.,<>]+\)+$"))
-    at = bounds(F.col("location_gb"))
-    return rows.select("feature_id", at["start"].alias("start"), at["end"].alias("end"))
+    """Bounds of every list that holds no other list."""
+    rows = _features(spark, sf_dir).where(F.col("location_gb").rlike(FLAT_LIST))
+    at = gb_find_bounds(F.col("location_gb"))
+    return rows.select("feature_id", at["start"].alias("start"), at["end"].alias("end"), at["error"].alias("error"))
+
+
+def sql_location_functions(spark, sf_dir):
+    """The functions registered for SQL, over single ranges of records with residues."""
+    register(spark)
+    _on_records(spark, sf_dir).createOrReplaceTempView("seqloom_features")
+    return spark.sql(
+        """SELECT feature_id, gb_find_bounds(location_gb).start AS start, gb_find_bounds(location_gb).end AS end, gb_truncate(location_gb, 100L, 500L) AS truncated,
+                  gb_relocate(location_gb, 7L, 0L, false) AS moved, gb_revcomp_location(location_gb, n) AS reversed, gb_format_location(gb_parse_location(location_gb)) AS shown,
+                  gb_simplify(concat('join(', location_gb, ')')) AS simplified, md5(gb_extract(location_gb, residues).residues) AS letters, md5(revcomp(residues)) AS turned
+           FROM seqloom_features"""
+    )
 
 
 def truncated_locations(spark, sf_dir):
@@ -311,7 +331,7 @@ def reversed_records(spark, sf_dir):
 def rotated_records(spark, sf_dir):
     """Every record; linear and empty ones and those whose declared length differs aren't rotated."""
     out = ops.set_origin(_nested(spark, sf_dir), F.col("record_id") % 997)
-    return out.select("record_id", F.substring("residues", 1, 60).alias("head"), F.md5("residues").alias("digest"), F.size("features").alias("n_features"), "_warnings")
+    return out.select("record_id", F.substring("residues", 1, 60).alias("head"), F.md5("residues").alias("digest"), F.size("features").alias("n_features"), F.size("_warnings").alias("n_warnings"))
 
 
 def record_regions(spark, sf_dir):
@@ -335,7 +355,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         revcomp_residues, residue_composition, record_lengths, unwrapped_ranges, range_residues, range_locations, rotated_residues, simple_locations,
-        location_round_trip, list_bounds, truncated_locations, moved_locations, reversed_locations, feature_residues, segment_counts, external_lookup,
+        location_round_trip, location_segments, list_bounds, sql_location_functions, truncated_locations, moved_locations, reversed_locations, feature_residues, segment_counts, external_lookup,
         location_residues, region_overlap, region_features, merged_spans, truncated_locations_all, moved_locations_all, reversed_locations_all,
         feature_residues_all, region_overlap_all, region_features_all, merged_spans_all, locus_lines, locus_parsed, date_texts, origin_blocks, scanned_residues,
         fasta_texts, source_totals, kind_frequency, key_frequency, frequent_kinds, frequent_keys, product_values, written_and_read, written_and_read_all, reversed_records,
@@ -373,6 +393,39 @@ def _wrapped(text: str) -> str:
     return f"CASE WHEN rev THEN 'complement(' || {text} || ')' ELSE {text} END"
 
 
+#: A location as it is printed: a range of one letter, without fuzzy ends, is that letter alone.
+CANONICAL = r"""array_to_string(list_transform(string_split(location_gb, ','), lambda part: CASE WHEN regexp_extract(part, '([0-9]+)\.\.([0-9]+)', 1) <> ''
+    AND regexp_extract(part, '([0-9]+)\.\.([0-9]+)', 1) = regexp_extract(part, '([0-9]+)\.\.([0-9]+)', 2) AND NOT contains(part, '<')
+    THEN replace(part, regexp_extract(part, '([0-9]+\.\.[0-9]+)', 1), regexp_extract(part, '([0-9]+)\.\.', 1)) ELSE part END), ',')"""
+#: Parts of every location as written: place, accession, kind, bounds, and whether each and the whole list are reversed.
+PARTS = r"""WITH f0 AS (SELECT DISTINCT ON (feature_id) feature_id, record_id, location_gb FROM features WHERE location_gb IS NOT NULL),
+    p0 AS (SELECT *, unnest(string_split(location_gb, ',')) AS raw, unnest(range(len(string_split(location_gb, ',')))) AS pos FROM f0),
+    p1 AS (SELECT *, regexp_extract(raw, '((?:[A-Za-z0-9_.]+:)?<?[0-9]+(?:\.\.>?[0-9]+|\^[0-9]+)?)\)*$', 1) AS e FROM p0),
+    p2 AS (SELECT *, regexp_extract(e, '^([^:]+):', 1) AS acc, CAST(regexp_extract(e, '(?:^|:)<?([0-9]+)', 1) AS BIGINT) - 1 AS st, CAST(regexp_extract(e, '([0-9]+)$', 1) AS BIGINT) AS en0,
+               contains(e, '^') AS between, regexp_matches(raw, 'complement\((?:[A-Za-z0-9_.]+:)?<?[0-9]+(?:\.\.>?[0-9]+|\^[0-9]+)?\)*$') AS own_rev,
+               regexp_matches(location_gb, '^complement\((join|order|bond|one-of)\(') AS outer_rev FROM p1),
+    p AS (SELECT feature_id, record_id, location_gb, pos, acc, CASE WHEN between THEN 'between' ELSE 'range' END AS kind, st, CASE WHEN between THEN en0 - 1 ELSE en0 END AS en, own_rev, outer_rev FROM p2)
+"""
+#: Stretches of the own record that parts stand on; a place between letters stands on both.
+OWN = """, o AS (SELECT feature_id, record_id, st AS f_start, CASE WHEN kind = 'between' THEN en + 1 ELSE en END AS f_end FROM p WHERE acc = '' AND (kind = 'range' OR en = st + 1)
+    UNION ALL SELECT feature_id, record_id, st, st + 1 FROM p WHERE acc = '' AND kind = 'between' AND en <> st + 1
+    UNION ALL SELECT feature_id, record_id, en, en + 1 FROM p WHERE acc = '' AND kind = 'between' AND en <> st + 1)"""
+#: Residues of every location, parts of other records fetched.
+LETTERS = PARTS + rf""", k AS (SELECT key, min(record_id) AS home FROM (SELECT version AS key, record_id FROM records UNION ALL SELECT accession, record_id FROM records
+              UNION ALL SELECT name, record_id FROM records) WHERE key IS NOT NULL AND key <> '' GROUP BY key),
+        t AS (SELECT p.*, r.residues AS txt, regexp_matches(location_gb, '(^|[(,:])(order|bond|one-of)\(') AS listed FROM p LEFT JOIN k ON p.acc = k.key
+              LEFT JOIN records r ON r.record_id = CASE WHEN p.acc = '' THEN p.record_id ELSE k.home END),
+        x AS (SELECT *, CASE WHEN kind = 'range' AND st >= 0 AND st <= en AND en <= length(txt) THEN substr(txt, st + 1, en - st) END AS part FROM t),
+        y AS (SELECT *, CASE WHEN outer_rev <> own_rev THEN {_RC.format('part')} ELSE part END AS letters, CASE WHEN outer_rev THEN -pos ELSE pos END AS place,
+              CASE WHEN kind <> 'range' THEN 'ambiguous' WHEN txt IS NULL AND acc <> '' THEN 'external' WHEN part IS NULL THEN 'out_of_bounds' END AS error FROM x),
+        z AS (SELECT feature_id, any_value(listed) AS listed, arg_min(error, place) FILTER (error IS NOT NULL) AS error, string_agg(letters, '' ORDER BY place) AS residues FROM y GROUP BY feature_id),
+        letters AS (SELECT feature_id, CASE WHEN NOT listed AND error IS NULL THEN residues END AS residues, CASE WHEN listed THEN 'ambiguous' ELSE error END AS error FROM z)
+"""
+#: Records with their number of features and, where declared and real length agree, their length.
+NESTED = """WITH m AS (SELECT record_id, residues, coalesce(topology = 'circular', false) AS circular, CAST(coalesce(n, 0) AS INTEGER) AS n,
+        CASE WHEN locus_len IS NOT NULL AND coalesce(length(residues), 0) > 0 AND locus_len <> length(residues) THEN NULL ELSE coalesce(locus_len, length(residues), 0) END AS len
+    FROM records LEFT JOIN (SELECT record_id, count(DISTINCT feature_id) AS n FROM features WHERE kind IS NOT NULL AND location_gb IS NOT NULL GROUP BY record_id) USING (record_id))
+"""
 _CODES = native.CODES[:15]
 _COUNTS = ", ".join(f"CAST(coalesce(sum(length(residues) - length(replace(upper(residues), '{c}', ''))), 0) AS BIGINT) AS n_{c.lower()}" for c in _CODES)
 _MONTH = "list_extract(['" + "','".join(native.MONTHS) + "'], date.month)"
@@ -393,8 +446,44 @@ ORACLE = {
     + f"SELECT record_id, CASE WHEN s >= e THEN NULL WHEN e <= n THEN {_shown('s', 'e')} WHEN e < 2 * n THEN 'join(' || {_shown('s', 'n')} || ',' || {_shown('0', 'e - n')} || ')' END AS location FROM r",
     "rotated_residues": _RANGES + "SELECT record_id, substr(residues, s + 1) || substr(residues, 1, s) AS rotated FROM r WHERE circular",
     "simple_locations": _SIMPLE_SQL + 'SELECT feature_id, st AS start, en AS "end", lo AS before, hi AS after, rev AS reverse FROM s',
-    "list_bounds": r"""SELECT feature_id, CAST(regexp_extract(location_gb, '([0-9]+)', 1) AS BIGINT) - 1 AS start, CAST(regexp_extract(location_gb, '([0-9]+)\)+$', 1) AS BIGINT) AS "end"
-        FROM features WHERE regexp_matches(location_gb, '^(complement\()?(join|order)\([0-9.,<>]+\)+$')""",
+    "location_round_trip": f"SELECT feature_id, {CANONICAL} AS shown FROM features",
+    "location_segments": PARTS + """SELECT feature_id, CAST(row_number() OVER (PARTITION BY feature_id ORDER BY CASE WHEN outer_rev THEN -pos ELSE pos END) - 1 AS INTEGER) AS seg_idx,
+        nullif(acc, '') AS accession, kind, st AS start, en AS "end", CAST(CASE WHEN outer_rev <> own_rev THEN -1 ELSE 1 END AS INTEGER) AS strand FROM p""",
+    "list_bounds": PARTS + rf""", l AS (SELECT f.feature_id, f.location_gb, min(CASE WHEN acc = '' THEN st END) AS least, max(CASE WHEN acc = '' THEN CASE WHEN kind = 'between' THEN en + 1 ELSE en END END) AS most,
+            arg_min(CASE WHEN acc = '' THEN st END, pos) FILTER (pos = first) AS a, arg_max(CASE WHEN acc = '' THEN CASE WHEN kind = 'between' THEN en + 1 ELSE en END END, pos) FILTER (pos = last) AS b
+            FROM (SELECT *, min(pos) OVER (PARTITION BY feature_id) AS first, max(pos) OVER (PARTITION BY feature_id) AS last FROM p) f GROUP BY f.feature_id, f.location_gb),
+        t AS (SELECT *, regexp_matches(location_gb, '^(complement\()?(join|order)\(') AS in_order FROM l),
+        w AS (SELECT *, CASE WHEN in_order THEN CASE WHEN a IS NULL OR b IS NULL THEN 'ambiguous' END WHEN least IS NULL THEN 'empty' END AS error FROM t)
+        SELECT feature_id, CASE WHEN error IS NULL THEN CASE WHEN in_order THEN a ELSE least END END AS start, CASE WHEN error IS NULL THEN CASE WHEN in_order THEN b ELSE most END END AS "end", error
+        FROM features JOIN w USING (feature_id) WHERE regexp_matches(features.location_gb, '{FLAT_LIST}')""",
+    "sql_location_functions": _SIMPLE_SQL
+    + f""", t AS (SELECT *, st >= 100 AND st < 500 AS si, en > 100 AND en <= 500 AS ei, CASE WHEN st >= 0 AND st <= en AND en <= n THEN substr(residues, st + 1, en - st) END AS x FROM n)
+        SELECT feature_id, st AS start, en AS "end", CASE WHEN si OR ei OR (st <= 100 AND en >= 500) THEN {_wrapped(_shown("CASE WHEN si THEN st ELSE 100 END", "CASE WHEN ei THEN en ELSE 500 END", "lo AND si", "hi AND ei"))} END AS truncated,
+            {_wrapped(_shown("st + 7", "en + 7", "lo", "hi"))} AS moved, CASE WHEN rev THEN {_shown('n - en', 'n - st', 'hi', 'lo')} ELSE 'complement(' || {_shown('n - en', 'n - st', 'hi', 'lo')} || ')' END AS reversed,
+            {_wrapped(_shown("st", "en", "lo", "hi"))} AS shown, {_wrapped(_shown("st", "en", "lo", "hi"))} AS simplified, md5(CASE WHEN rev THEN {_RC.format('x')} ELSE x END) AS letters, md5({_RC.format('residues')}) AS turned FROM t""",
+    "location_residues": LETTERS + "SELECT feature_id, residues, error FROM letters",
+    "cds_fasta": LETTERS + r""", c AS (SELECT f.feature_id, r.name || '_' || list_filter(qualifiers, lambda q: q.key = 'locus_tag' AND q.value IS NOT NULL)[1].value || '_' || list_filter(qualifiers, lambda q: q.key = 'gene' AND q.value IS NOT NULL)[1].value AS header
+            FROM (SELECT DISTINCT ON (feature_id) * FROM features) f JOIN records r USING (record_id) WHERE kind = 'CDS')
+        SELECT c.feature_id, '>' || header || chr(10) || rtrim(regexp_replace(residues, '(.{60})', '\1' || chr(10), 'g'), chr(10)) || chr(10) AS fasta, coalesce(error, CASE WHEN header IS NULL THEN 'no_name' END) AS error FROM c LEFT JOIN letters USING (feature_id)""",
+    "reversed_records": NESTED + f"""SELECT record_id, CAST(length(residues) AS INTEGER) AS letters, CASE WHEN len IS NULL THEN 0 ELSE n END AS n_features, md5({_RC.format('residues')}) AS digest FROM m""",
+    "rotated_records": NESTED + """, t AS (SELECT *, circular AND coalesce(length(residues), 0) > 0 AS turns, record_id % 997 AS origin FROM m),
+        u AS (SELECT *, CASE WHEN turns AND len IS NOT NULL THEN substr(residues, CAST((origin % len) % length(residues) AS BIGINT) + 1) || substr(residues, 1, CAST((origin % len) % length(residues) AS BIGINT)) ELSE residues END AS turned FROM t)
+        SELECT record_id, substr(turned, 1, 60) AS head, md5(turned) AS digest, CASE WHEN turns AND len IS NULL THEN 0 ELSE n END AS n_features, CASE WHEN turns AND len IS NULL THEN n ELSE 0 END AS n_warnings FROM u""",
+    "record_regions": PARTS.replace("WITH ", NESTED.rstrip() + ", ", 1) + """, v AS (SELECT *, coalesce(len > 0 AND (circular OR (len >= 150)), false) AS valid FROM m),
+        q AS (SELECT p.*, v.circular, v.len, v.valid, CASE WHEN v.circular THEN st + ((-50 % len) + len) % len ELSE st - 50 END AS a0, CASE WHEN v.circular THEN en + ((-50 % len) + len) % len ELSE en - 50 END AS b0
+              FROM p JOIN v USING (record_id) JOIN (SELECT DISTINCT feature_id FROM features WHERE kind IS NOT NULL) USING (feature_id) WHERE v.valid),
+        w AS (SELECT *, CASE WHEN circular AND kind = 'range' THEN a0 - greatest(a0 // len, 0) * len ELSE a0 END AS a, CASE WHEN circular AND kind = 'range' THEN b0 - greatest(a0 // len, 0) * len ELSE b0 END AS b FROM q),
+        k AS (SELECT record_id, count(DISTINCT feature_id) AS kept FROM w WHERE acc <> '' OR CASE WHEN kind = 'between' THEN (a >= 0 AND a < 100) OR (b >= 0 AND b < 100)
+              ELSE (a < 100 AND b > 0) OR (circular AND b > len) END GROUP BY record_id)
+        SELECT record_id, CASE WHEN valid AND length(residues) > 0 THEN CASE WHEN circular THEN substr(repeat(residues, CAST(ceil((50 % length(residues) + 100) / length(residues)) AS BIGINT)), CAST(50 % length(residues) + 1 AS BIGINT), 100)
+            WHEN length(residues) >= 150 THEN substr(residues, 51, 100) END END AS residues, CAST(coalesce(kept, 0) AS INTEGER) AS n_features, CASE WHEN NOT valid THEN 'region out of range' END AS _error FROM v LEFT JOIN k USING (record_id)""",
+    "written_and_read_all": NESTED + "SELECT record_id, coalesce(residues, '') AS residues, n AS n_features, CAST(NULL AS VARCHAR) AS error FROM m",
+    "region_overlap_all": PARTS + f"""{{own}}, g AS (SELECT record_id, unnest(generate_series(0, length(residues) - 1, {REGION})) AS start FROM records WHERE length(residues) > 0)
+        SELECT g.record_id, g.start, o.feature_id, o.f_start, o.f_end FROM g JOIN o ON g.record_id = o.record_id AND o.f_start < g.start + {REGION} AND g.start < o.f_end AND o.f_start < o.f_end""".replace("{own}", OWN),
+    "merged_spans_all": PARTS + OWN + """, s AS (SELECT record_id, f_start AS st, f_end AS en FROM o),
+        i0 AS (SELECT record_id, st, en, CASE WHEN st <= max(en) OVER (PARTITION BY record_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
+        i AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS island FROM i0)
+        SELECT record_id, min(st) AS start, max(en) AS "end", count(*) AS n_spans FROM i GROUP BY record_id, island""",
     "truncated_locations": _SIMPLE_SQL
     + f""", t AS (SELECT *, st >= 100 AND st < 500 AS si, en > 100 AND en <= 500 AS ei FROM s)
         SELECT feature_id, {_wrapped(_shown("CASE WHEN si THEN st ELSE 100 END", "CASE WHEN ei THEN en ELSE 500 END", "lo AND si", "hi AND ei"))} AS location

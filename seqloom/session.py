@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables written by :func:`cut`.
+#: Folders made by :func:`new_folder`.
 _CUTS: list[str] = []
 
 
@@ -44,6 +44,13 @@ def _shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The path of a new folder in the shared folder; nothing is there yet."""
+    path = f"{_shared_folder(spark)}/seqloom-{uuid.uuid4().hex}"
+    _CUTS.append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and go on from it.
 
@@ -51,14 +58,13 @@ def cut(df: DataFrame) -> DataFrame:
     executor costs a re-read, not a re-computation, and the size of the table is known to the planner,
     which broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold``. :func:`clear_cuts` removes the tables.
     """
-    path = f"{_shared_folder(df.sparkSession)}/seqloom-cut-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_cuts(spark: SparkSession) -> None:
-    """Remove the tables written by :func:`cut`; results that read them must be done with."""
+    """Remove the folders of :func:`new_folder` and :func:`cut`; results that read them must be done with."""
     jvm = spark.sparkContext._jvm
     while _CUTS:
         path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())

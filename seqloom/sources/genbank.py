@@ -7,15 +7,17 @@ With ``columns`` only what is asked for comes back.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from seqloom.functions import native
 from seqloom.schema import RECORD, RECORD_FIELDS
@@ -98,10 +100,10 @@ def with_record_index(records: DataFrame) -> DataFrame:
     return out.withColumn("_record_idx", (F.col("_earlier") + F.col("_block_idx")).cast("int")).drop("_earlier", "_block_start", "_block_idx")
 
 
-@F.pandas_udf(T.ArrayType(RECORD))
-def parse_genbank(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(RECORD))
+def parse_genbank(texts: pa.Array) -> pa.Array:
     """Array of the records of a text."""
-    return texts.map(lambda t: None if t is None else read_text(t))
+    return pa.array([None if t is None else read_text(t) for t in texts.to_pylist()], to_arrow_type(T.ArrayType(RECORD)))
 
 
 @F.udtf(returnType=RECORD)
@@ -113,22 +115,15 @@ class GenbankTable:
             yield tuple(record[f.name] for f in RECORD_FIELDS)
 
 
-def _plain(value):
-    """Nested pandas values as Python lists and dicts."""
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    if hasattr(value, "asDict"):
-        return _plain(value.asDict())
-    if hasattr(value, "tolist") and not isinstance(value, str):
-        value = value.tolist()
-    if isinstance(value, list | tuple):
-        return [_plain(v) for v in value]
-    return None if isinstance(value, float) and value != value else value
+@F.arrow_udf(T.StringType())
+def format_record(records: pa.Array) -> pa.Array:
+    """Flat-file text of each record struct, for SQL; :func:`to_genbank` leaves LOCUS line and residues to the JVM."""
+    return pa.array([None if r is None else record_to_text(r) for r in records.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _body(records: pd.DataFrame) -> pd.Series:
-    return pd.Series([body_text(_plain(row)) for row in records.to_dict("records")], index=records.index, dtype=object)
+@F.arrow_udf(T.StringType())
+def _body(records: pa.Array) -> pa.Array:
+    return pa.array([body_text(row) for row in records.to_pylist()], pa.string())
 
 
 _BODY_FIELDS = ("definition", "accession", "version", "dblink", "keywords", "source", "references", "comments", "contig", "features")
@@ -162,6 +157,13 @@ def write_fasta(df: DataFrame, path: str, header: str = "header", residues: str
     df.where(F.col(header).isNotNull() & F.col(residues).isNotNull()).select(text.alias("value")).write.mode(mode).text(path)
 
 
+def _file_system(path: str):
+    """The file system of a path or address, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.\-]*:", path) else (fs.LocalFileSystem(), path)
+
+
 class _FilePart(InputPartition):
     pass
 
@@ -171,19 +173,19 @@ class _Reader(DataSourceReader):
         self.names, self.path, self.mode = [f.name for f in schema.fields], options["path"], options.get("mode", "PERMISSIVE").upper()
 
     def partitions(self):
-        import glob
-        import os
+        from pyarrow import fs
 
-        found = sorted(glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path))
-        return [_FilePart(f) for f in found if os.path.isfile(f) and not os.path.basename(f).startswith((".", "_"))] or [_FilePart(None)]
+        system, path = _file_system(self.path)
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            found = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
+        else:
+            found = [path]
+        return [_FilePart(f) for f in sorted(found)] or [_FilePart(None)]
 
     def read(self, partition):
-        import gzip
-
         if partition.value is None:
             return
-        opened = gzip.open if partition.value.endswith(".gz") else open
-        with opened(partition.value, "rb") as f:
+        with _file_system(self.path)[0].open_input_stream(partition.value, compression="gzip" if partition.value.endswith(".gz") else None) as f:
             text = repair_latin1(f.read())
         for record in read_text(text):
             if record["_error"] and self.mode == "FAILFAST":
@@ -192,21 +194,43 @@ class _Reader(DataSourceReader):
                 yield tuple(record[n] for n in self.names)
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    path: str
+
+
 class _Writer(DataSourceWriter):
-    def __init__(self, options):
-        self.path = options["path"]
+    """Each task writes a file that readers don't see; the commit gives those of the tasks that count their names."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, rows):
-        import os
-        import uuid
+        system, folder = _file_system(self.path)
+        system.create_dir(folder, recursive=True)
+        part = f"{folder}/_{uuid.uuid4().hex}.gb"
+        with system.open_output_stream(part) as out:
+            for row in rows:
+                out.write(record_to_text(row.asDict(recursive=True)).encode())
+        return _Part(part)
 
-        from pyspark.sql.datasource import WriterCommitMessage
+    def commit(self, messages):
+        from pyarrow import fs
 
-        os.makedirs(self.path, exist_ok=True)
-        with open(os.path.join(self.path, f"part-{uuid.uuid4().hex}.gb"), "w") as out:
-            for row in rows:
-                out.write(record_to_text(_plain(row)))
-        return WriterCommitMessage()
+        system, folder = _file_system(self.path)
+        if self.overwrite and system.get_file_info(folder).type == fs.FileType.Directory:
+            for old in system.get_file_info(fs.FileSelector(folder)):
+                if old.type == fs.FileType.File and not old.base_name.startswith("_"):
+                    system.delete_file(old.path)
+        for m in messages:
+            if m is not None:
+                system.move(m.path, f"{folder}/part-{m.path.rsplit('/_', 1)[1]}")
+
+    def abort(self, messages):
+        system, _ = _file_system(self.path)
+        for m in messages:
+            if m is not None:
+                system.delete_file(m.path)
 
 
 class GenbankSource(DataSource):
@@ -223,7 +247,7 @@ class GenbankSource(DataSource):
         return _Reader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 def record_to_text(record: dict, truncate_locus: bool = False, escape_locus: bool = True) -> str:

@@ -78,8 +78,9 @@ def wrap_text(text: str, first: str, indent: str, quote: bool) -> Iterator[str]:
 
 
 def _field(keyword: str, value: str | None) -> Iterator[str]:
+    """Blanks before a value aren't written: further lines must be indented to where the value begins."""
     if value is not None:
-        yield from wrap_text(value, f"{keyword:<12}", FIELD_INDENT, False)
+        yield from wrap_text(value.lstrip(" "), f"{keyword:<12}", FIELD_INDENT, False)
 
 
 def header_lines(record: dict) -> Iterator[str]:

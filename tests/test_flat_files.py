@@ -130,8 +130,12 @@ def test_locus_forms(spark, line, name, topology, division):
     assert (x.name, x.topology, x.division, x.ok) == (name, topology, division, True)
 
 
-def test_a_form_that_fits_is_final():
-    assert read_record("LOCUS       KQ000771 96 bp RNA linear VRL 17-MAR-2021 and more\n")["_error"]
+def test_a_form_that_fits_is_final(spark):
+    from seqloom.functions.native import parse_locus
+
+    for line in ("LOCUS       KQ000771 96 bp RNA linear VRL 17-MAR-2021 and more", "LOCUS       KQ000771 96 bp RNA linear VRL 99-MAR-2021"):
+        assert read_record(line + "\n")["_error"]
+        assert spark.createDataFrame([(line,)], "t string").select(parse_locus("t").alias("x")).first().x.ok is False
     assert "second DEFINITION" in read_record("LOCUS       KQ000771 4 bp RNA linear\nDEFINITION  a\nDEFINITION  b\n")["_error"]
 
 
@@ -238,7 +242,16 @@ def test_data_source(spark, folder, tmp_path):
     df = spark.read.format("genbank").load(str(folder))
     assert df.where("_error IS NULL").count() == 9
     df.where("accession = 'AB000001'").write.format("genbank").mode("append").save(str(tmp_path / "out"))
-    assert spark.read.format("genbank").load(str(tmp_path / "out")).select("accession", "residues").distinct().collect() == [("AB000001", "acgt" * 6)]
+
+    def kept():
+        return spark.read.format("genbank").load(str(tmp_path / "out")).select("name", "accession", "residues").collect()
+
+    assert {(r.accession, r.residues) for r in kept()} == {("AB000001", "acgt" * 6)}
+    n = len(kept())
+    df.where("name = 'CON1'").write.format("genbank").mode("append").save(str(tmp_path / "out"))
+    assert len(kept()) == n + 1
+    df.where("name = 'CON1'").write.format("genbank").mode("overwrite").save(str(tmp_path / "out"))
+    assert [r.name for r in kept()] == ["CON1"] and not list((tmp_path / "out").glob("_*"))
 
 
 def test_stream(spark, folder, tmp_path):
