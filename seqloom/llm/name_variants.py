@@ -5,17 +5,24 @@ Method: noisy-channel attribution. Distinct spellings are counted once; a spelli
 details (given name and middle initials, or the words). Frequent forms are candidate canonical forms. A
 rarer core is attached to the core of the same signature with the largest posterior: frequency as
 prior, times the likelihood of the one edit between them. Within the forms of one core and signature, a
-spelling with missing or abbreviated details is attached to the most probable compatible entity.
+form is attached to the entity with the largest posterior: its frequency, times the likelihood that its given
+name is written as an initial, a short form or with a typo, and that its middle initial is left out or
+told for the first time; for bodies, times the likelihood of each word's abbreviation or typo. A form that no
+entity can have brought about founds one.
 
-Scale: rows are reduced to distinct spellings first (partial counts before the shuffle). Candidates
+A typo is only seen where the typed form isn't in use by itself: a given name that stands with another
+surname too is a name of its own, and so is a surname of under ``SHORT_CORE`` letters that stands with two initials.
+
+Scale: rows are reduced to distinct spellings first (partial counts before the shuffle), spellings to distinct forms
+(given name and middle initial, or words) before a group is looked at: a group has as many members as its surname
+and initial have different given names, however many rows or spellings there are. Candidates
 come from an equi-join on deletion neighbours, each spelling in ``len + 1`` keys of its own field and
-signature, and only rarer-to-more-frequent pairs are made. Nothing is collected or broadcast.
+signature, and only rarer-to-more-frequent pairs are made. Nothing is collected; broadcasts are left to the planner.
 
 Rules: particles belong to the surname; case, accents, full stops, hyphens and order of parts don't
 matter; middle initials and Jr. may be missing; people with one surname and different first given
 names stay apart (nicknames count as the names they stand for); bodies of one place with another
-subject or kind stay apart. Cores of under ``LEAST_CORE`` letters are never linked by typo.
-Null and blank names give no row; equal spellings count once.
+subject or kind stay apart. Null and blank names give no row; equal spellings count once.
 """
 
 from __future__ import annotations
@@ -33,11 +40,16 @@ from pyspark.sql.types import DoubleType
 from seqloom.operators.packed_values import clean
 from seqloom.session import cut
 
-LEAST_CORE = 5
+#: Cores of fewer letters have many neighbours by chance: an edit of one must be so much likelier.
+SHORT_CORE, SHORT_FACTOR = 5, 0.1
 #: How much likelier a near spelling is a typo than another entity with the same signature.
 TYPO_ODDS = 10.0
 #: Likelihood of one edit by its kind.
 EDIT_LIKELIHOOD = {"swap": 0.3, "double": 0.3, "drop": 0.2, "add": 0.2, "near_key": 0.2, "alike": 0.2, "vowel": 0.2, "other": 0.02}
+#: Likelihood that a given name is written as its initial or in its short form.
+INITIAL_ONLY, SHORT_FORM = 0.3, 0.1
+#: Likelihood that a middle initial is left out, and that a form tells one that no other form of the person had.
+NO_MIDDLE, NEW_MIDDLE = 0.5, 0.02
 
 # Common English short forms and the names they stand for.
 NICKNAMES = {
@@ -170,53 +182,75 @@ def abbreviates(short: str, word: str) -> float:
     letters = iter(word)
     if short[:1] == word[:1] and len(short) < len(word) and all(c in letters for c in short):
         return 0.03
-    return 0.02 if len(word) >= LEAST_CORE and one_edit(short, word) else 0.0
+    return 0.1 * EDIT_LIKELIHOOD[kind] if len(word) >= SHORT_CORE and (kind := one_edit(short, word)) else 0.0
 
 
 def _names_meet(a: str, b: str) -> bool:
     return a == b or bool({a, *NICKNAMES.get(a, "").split()} & {b, *NICKNAMES.get(b, "").split()})
 
 
-def group_persons(rows: list[tuple[str, int, str | None, str | None]]) -> list[int]:
-    """Entity number for each (name, n, given, middle) of one core and initial.
+def given_likelihood(given: str | None, n: int, names: dict[str, int], in_use: bool) -> float:
+    """Likelihood that a person of these given names (with their counts) is written ``n`` times with ``given``.
+
+    As with surnames, a typo is taken for one only if it is likelier than another person.
+    """
+    if not names or given is None:
+        return INITIAL_ONLY
+    best = 0.0
+    if given in names:
+        return 1.0
+    for name, times in names.items():
+        if _names_meet(given, name):
+            best = max(best, SHORT_FORM)
+        elif not in_use and min(len(given), len(name)) > 2:
+            p = EDIT_LIKELIHOOD.get(one_edit(given, name), 0.0)
+            best = max(best, p if times * p * TYPO_ODDS >= n else 0.0)
+    return best
+
+
+def middle_likelihood(middle: str | None, known: str | None) -> float:
+    if middle == known:
+        return 1.0
+    if middle is None:
+        return NO_MIDDLE
+    return NEW_MIDDLE if known is None else 0.0
+
 
-    Fullest forms found the entities; the others go to the compatible one with the largest count.
+def group_persons(forms: list[tuple[str | None, str | None, int, bool]]) -> list[int]:
+    """Entity number for each distinct (given, middle, n, whether the given name is in use elsewhere) of one core and initial.
+
+    Fuller and more frequent forms come first; names in use before those that may be typos.
     """
-    order = sorted(range(len(rows)), key=lambda i: (-(bool(rows[i][2]) + bool(rows[i][3])), rows[i][2] in NICKNAMES, -rows[i][1], rows[i][0]))
+
+    def rank(i: int) -> tuple:
+        given, middle, n, in_use = forms[i]
+        return given is not None and not in_use and n < 2, -(bool(given) + bool(middle)), given in NICKNAMES, -n, str((given, middle))
+
     entities: list[dict] = []
-    out = [0] * len(rows)
-    forms: dict[tuple, list[int]] = {}
-    for i in order:
-        forms.setdefault(rows[i][2:], []).append(i)
-    for (given, middle), members in sorted(forms.items(), key=lambda f: (-(bool(f[0][0]) + bool(f[0][1])), f[0][0] in NICKNAMES, -sum(rows[i][1] for i in f[1]), str(f[0]))):
-        n = sum(rows[i][1] for i in members)
-        fits = [
-            e
-            for e in entities
-            if (not given or not e["given"] or any(_names_meet(given, g) for g in e["given"])) and (not middle or not e["middle"] or middle == e["middle"])
-        ]
-        if fits:
-            best = max(fits, key=lambda e: (bool(middle) and e["middle"] == middle, bool(given) and bool(e["given"]), e["n"]))
+    out = [0] * len(forms)
+    for i in sorted(range(len(forms)), key=rank):
+        given, middle, n, in_use = forms[i]
+        posterior = [(e["n"] * given_likelihood(given, n, e["given"], in_use) * middle_likelihood(middle, e["middle"]), -e["id"]) for e in entities]
+        best, at = max(posterior, default=(0.0, 0))
+        if best > 0:
+            entity = entities[-at]
         else:
-            best = {"given": set(), "middle": None, "n": 0, "id": len(entities)}
-            entities.append(best)
-        best["given"] |= {given} if given else set()
-        best["middle"] = best["middle"] or middle
-        best["n"] += n
-        for i in members:
-            out[i] = best["id"]
+            entity = {"given": {}, "middle": None, "n": 0, "id": len(entities)}
+            entities.append(entity)
+        if given:
+            entity["given"][given] = entity["given"].get(given, 0) + n
+        entity["middle"] = entity["middle"] or middle
+        entity["n"] += n
+        out[i] = entity["id"]
     return out
 
 
-def group_bodies(rows: list[tuple[str, int, list[str] | None]]) -> list[int]:
-    """Entity number for each (name, n, words) of one place and signature.
+def group_bodies(forms: list[tuple[tuple[str, ...] | None, int]]) -> list[int]:
+    """Entity number for each distinct (words, n) of one place and signature.
 
     Candidate canonical forms are word sequences that abbreviate no other of the group.
     """
-    counts: dict[tuple | None, int] = {}
-    for _, n, words in rows:
-        key = None if words is None else tuple(words)
-        counts[key] = counts.get(key, 0) + n
+    counts = dict(forms)
 
     def likelihood(form, canon) -> float:
         p = 1.0
@@ -225,22 +259,18 @@ def group_bodies(rows: list[tuple[str, int, list[str] | None]]) -> list[int]:
         return p if len(form) == len(canon) else 0.0
 
     known = sorted((k for k in counts if k is not None), key=lambda k: (-sum(map(len, k)), -counts[k], k))
-    canon: list[tuple] = []
     weight: dict[tuple, float] = {}
     home: dict[tuple | None, tuple] = {}
     for form in known:
-        best = max(canon, key=lambda c: (weight[c] * likelihood(form, c), c), default=None)
+        best = max(weight, key=lambda c: (weight[c] * likelihood(form, c), c), default=None)
         if best is None or not likelihood(form, best):
-            canon.append(form)
-            weight[form] = counts[form]
-            home[form] = form
-        else:
-            home[form] = best
-            weight[best] += counts[form]
-    most = max(canon, key=lambda c: (weight[c], c), default=())
-    home[None] = most
-    number = {c: i for i, c in enumerate(canon or [()])}
-    return [number[home[None if words is None else tuple(words)]] for _, _, words in rows]
+            best = form
+            weight[form] = 0
+        home[form] = best
+        weight[best] += counts[form]
+    home[None] = max(weight, key=lambda c: (weight[c], c), default=())
+    number = {c: i for i, c in enumerate(weight or [()])}
+    return [number[home[words]] for words, _ in forms]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +296,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _READ_SCHEMA = "field string, name string, n long, core string, sigs array<string>, given string, middle string, words array<string>"
-_ENTITY_SCHEMA = "field string, name string, n long, core string, sig string, entity int"
+_FORM_SCHEMA = "field string, root string, sig string, given string, middle string, words array<string>, entity int"
 
 
 @F.pandas_udf(DoubleType())
@@ -274,23 +304,28 @@ def _typo_likelihood(typed: pd.Series, meant: pd.Series) -> pd.Series:
     return pd.Series([EDIT_LIKELIHOOD.get(one_edit(a, b), 0.0) for a, b in zip(typed, meant)], dtype=float)
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    def text(x):
-        return x if isinstance(x, str) else None
-
-    if pdf["field"].iat[0] == "authors":
-        rows = [(a, int(n), text(g), text(m)) for a, n, g, m in zip(pdf["name"], pdf["n"], pdf["given"], pdf["middle"])]
-        numbers = group_persons(rows)
-    else:
-        numbers = group_bodies([(a, int(n), None if w is None else list(w)) for a, n, w in zip(pdf["name"], pdf["n"], pdf["words"])])
-    out = pdf[["field", "name", "n"]].copy()
-    out["core"], out["sig"], out["entity"] = pdf["root"], pdf["sig"], pd.Series(numbers, index=pdf.index, dtype="int32")
-    return out
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (field, root, sig, forms) to one row for each form with its entity."""
+    for batch in batches:
+        rows = []
+        for field, root, sig, forms in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if field == "authors":
+                numbers = group_persons([(f["given"], f["middle"], f["n"], f["in_use"]) for f in forms])
+            else:
+                numbers = group_bodies([(None if f["words"] is None else tuple(f["words"]), f["n"]) for f in forms])
+            rows += [(field, root, sig, f["given"], f["middle"], f["words"], k) for f, k in zip(forms, numbers)]
+        columns = list(zip(*rows)) or [()] * 7
+        kinds = (*[pa.string()] * 5, pa.list_(pa.string()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["field", "root", "sig", "given", "middle", "words", "entity"])
 
 
 def core_links(profiles: DataFrame) -> DataFrame:
     """(field, sig, core, root): each core that is a variant, with the core it belongs to."""
-    keyed = profiles.where(F.length("core") >= LEAST_CORE)
+    keyed = profiles.where(F.length("core") > 1).join(
+        profiles.groupBy("field", "core").agg((F.min("sig") != F.max("sig")).alias("in_use")), ["field", "core"]
+    )
+    # a short surname that stands with two initials is a name of its own
+    keyed = keyed.withColumn("fixed", F.col("in_use") & (F.length("core") < SHORT_CORE)).drop("in_use")
     deleted = F.transform(
         F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", 1, i - 1), F.substring("core", i + 1, F.length("core")))
     )
@@ -299,10 +334,11 @@ def core_links(profiles: DataFrame) -> DataFrame:
     more = (F.col("t.n") > F.col("s.n")) | ((F.col("t.n") == F.col("s.n")) & (F.col("t.core") < F.col("s.core")))
     near = F.abs(F.length("t.core") - F.length("s.core")) <= 1
     on = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in ("field", "sig", "key")]
-    pairs = rare.join(often, [*on, more, near]).select(
+    pairs = rare.join(often, [*on, more, near, ~F.col("s.fixed")]).select(
         F.col("s.field").alias("field"), F.col("s.sig").alias("sig"), F.col("s.core").alias("core"), F.col("s.n").alias("n"), F.col("t.core").alias("root"), F.col("t.n").alias("root_n")
     )
     pairs = pairs.dropDuplicates(["field", "sig", "core", "root"]).withColumn("p", _typo_likelihood("core", "root"))
+    pairs = pairs.withColumn("p", F.when(F.least(F.length("core"), F.length("root")) < SHORT_CORE, F.col("p") * SHORT_FACTOR).otherwise(F.col("p")))
     fits = pairs.where((F.col("p") > 0) & (F.col("root_n") * F.col("p") * TYPO_ODDS >= F.col("n")))
     best = fits.groupBy("field", "sig", "core").agg(F.max_by("root", F.struct(F.col("root_n") * F.col("p"), "root")).alias("root"))
     links = cut(best)
@@ -321,15 +357,29 @@ def name_entities(names: DataFrame) -> DataFrame:
     core, sig and entity together tell the person or body.
     """
     spelled = names.where(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("field", "name").agg(F.count("*").alias("n"))
-    read = cut(spelled.mapInArrow(_read, _READ_SCHEMA))
+    read = cut(_everywhere(spelled, "name").mapInArrow(_read, _READ_SCHEMA))
     options = read.withColumn("sig", F.explode("sigs"))
     profiles = options.groupBy("field", "core", "sig").agg(F.sum(F.col("n") / F.size("sigs")).alias("n"))
     # a nickname that may stand for names with several initials goes where most of its core is
     prior = options.join(profiles.withColumnRenamed("n", "prior"), ["field", "core", "sig"])
     place = prior.groupBy("field", "name").agg(F.max_by("sig", F.struct("prior", "sig")).alias("sig"))
     placed = read.drop("sigs").join(place, ["field", "name"])
-    rooted = placed.join(core_links(profiles), ["field", "sig", "core"], "left").withColumn("root", F.coalesce("root", "core"))
-    return rooted.groupBy("field", "root", "sig").applyInPandas(_group, _ENTITY_SCHEMA)
+    rooted = cut(placed.join(core_links(profiles), ["field", "sig", "core"], "left").withColumn("root", F.coalesce("root", "core")))
+    # given names that stand with two surnames are in use; distinct forms are all that a group is judged by
+    names_in_use = rooted.where("given IS NOT NULL").groupBy("given").agg((F.min("root") != F.max("root")).alias("in_use")).where("in_use")
+    forms = rooted.groupBy("field", "root", "sig", "given", "middle", "words").agg(F.sum("n").alias("n"))
+    forms = forms.join(names_in_use, "given", "left").withColumn("in_use", F.coalesce("in_use", F.lit(False)))
+    groups = forms.groupBy("field", "root", "sig").agg(F.collect_list(F.struct("given", "middle", "words", "n", "in_use")).alias("forms"))
+    told = _everywhere(groups, "root", "sig").mapInArrow(_group, _FORM_SCHEMA)
+    keys = ("field", "root", "sig", "given", "middle", "words")
+    r, t = rooted.alias("r"), told.alias("t")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
+    return r.join(t, same).select("r.field", "r.name", "r.n", F.col("r.root").alias("core"), "r.sig", "t.entity")
+
+
+def _everywhere(df: DataFrame, *keys: str) -> DataFrame:
+    """Small rows that cost much Python each: as many partitions as the session shuffles into, whatever their size in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def variant_pairs(entities: DataFrame) -> DataFrame:

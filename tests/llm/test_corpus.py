@@ -318,6 +318,10 @@ def test_variant_pairs(spark):
     groups = [
         ("authors", ["Wayidogan,F.S."] * 9 + ["Farid S. Wayidogan", "Wayidogan F", "Wayidoghan, Farid Jr.", "WAYIDOGAN,F."]),
         ("authors", ["Wayidogan,J.G."] * 4 + ["Jim Wayidogan", "James G. Wayidogan"]),
+        ("authors", ["Wayidogan, Karim"] * 3 + ["Wayidogan, Krim", "Karimm Wayidogan", "Wayidogan, Kairm"]),
+        ("authors", ["Wayidogan, Maria"] * 3), ("authors", ["Marie Wayidogan"]), ("authors", ["Abc, Marie", "Marie Abc"]),
+        ("authors", ["Wayidogan, Bela"]), ("authors", ["Wayidogan, Beta"]),
+        ("authors", ["Lu, Otto"] * 40 + ["Lo, Otto"]), ("authors", ["Li, Otto"] * 2), ("authors", ["Li, Nils"]),
         ("authors", ["Miller, Ann B.", "A.B. Miller"]), ("authors", ["Miller, Alice", "Alice C. Miller"]),
         ("consortium", ["Huva Marsh Genome Institute"] * 3 + ["Huva Marsh Gen. Inst.", "The Huva Marsh Genome Institute"]),
         ("consortium", ["Huva Marsh Genome Initiative"] * 2 + ["Initiative for the Huva Marsh Genome"]),
