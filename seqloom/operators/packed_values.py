@@ -19,15 +19,14 @@ START, END, ESCAPE = "\x01", "\x02", "\x03"
 #: A value that stands after the comma of an author: initials, with or without full stops.
 _INITIALS = r"(?:\p{Lu}\.?[\- ]?){1,4}"
 _SUFFIX = r"(?:,?\s*(?:Jr|Sr)\b\.?|\s+(?:II|III|IV))?"
-_PARTICLE = r"(?:(?:von|van|der|den|del|della|de|di|da|la|le|el|al|bin|ter|VON|VAN|DEL|DE|Von|Van|Del|De)\s+)*"
+# possessive repetitions of groups run in a loop; others recurse and overflow the stack on long values
+_PARTICLE = r"(?:(?:von|van|der|den|del|della|de|di|da|la|le|el|al|bin|ter|VON|VAN|DEL|DE|Von|Van|Del|De)\s+)*+"
 _SURNAME = _PARTICLE + r"[^\s,.]{2,}"
-_GIVEN = r"\p{Lu}[^\s,.]+(?:[\s\-]+(?!(?:Jr|Sr)\b)(?:\p{Lu}(?!\p{L})\.?|\p{Lu}[^\s,.]+))*" + _SUFFIX
+_GIVEN = r"\p{Lu}[^\s,.]++(?:[\s\-]++(?!(?:Jr|Sr)\b)(?:\p{Lu}[^\s,.]++|\p{Lu}\.?))*+" + _SUFFIX
 #: Delimiters that part authors wherever they stand.
 _AUTHOR_STRONG = r"\s*[;|]\s*|\s+/\s+|\s*,?\s*&\s*|\s*,?\s+and\s+|,\s*and\s+"
 #: A comma parts authors unless initials or a suffix follow it up to the next delimiter.
 _AUTHOR_COMMA = r",(?!\s*(?:" + _INITIALS + _SUFFIX + r"|(?:Jr|Sr)\b\.?)\s*(?:,|$))"
-#: Tokens of at most so many letters are looked at as a surname or given names.
-_NAME_LETTERS = 200
 _ET_AL = r"[,;]?\s*\bet\.?\s+al\b\.?\s*$"
 #: A comma belongs to a keyword if it parts the digits of a number that starts a word.
 _KEYWORD_DELIMITER = r"[;|]|\s/\s|(?<!(?<![\p{L}\p{N}_])\p{N}{1,4}),|,(?!\p{N})"
@@ -122,8 +121,7 @@ def split_authors(text: Column) -> Column:
     def names(segment: Column) -> Column:
         # "Surname, Given" once or several times: surnames at even places, given names at odd ones
         def fits(t: Column, i: Column) -> Column:
-            own = F.when(i % 2 == 0, t.rlike("^ ?" + _SURNAME + "$")).otherwise(t.rlike("^" + _GIVEN + " ?$"))
-            return (F.length(t) <= _NAME_LETTERS) & own
+            return F.when(i % 2 == 0, t.rlike("^ ?" + _SURNAME + "$")).otherwise(t.rlike("^" + _GIVEN + " ?$"))
 
         def told(tokens: Column) -> Column:
             paired = (F.size(tokens) % 2 == 0) & F.forall(F.transform(tokens, fits), lambda x: x)

@@ -54,3 +54,11 @@ def test_rows(spark):
     assert out.where("row_id = 4").count() == 20000
     assert out.where("row_id = 4 AND pos = 20000").first().item == 'value 19999, part "x"'
     assert explode_values(df.limit(0), "ref_id", "keywords", "keywords").count() == 0
+
+
+def test_names_of_any_length_are_paired(spark):
+    """Far beyond any limit there was: long surnames and thousands of given names keep their place in a list of pairs."""
+    long, many = "X" + "y" * 5000, " ".join(["Anna", "B."] * 4000)
+    text = f"{long}, Maria, Abcde, {many}, von der {long}, Jean-Paul A-b"
+    rows = explode_values(spark.createDataFrame([(1, text)], "ref_id long, authors string"), "ref_id", "authors", "authors").orderBy("pos").collect()
+    assert [r.item for r in rows] == [f"{long}, Maria", f"Abcde, {many}", f"von der {long}, Jean-Paul A-b"]
