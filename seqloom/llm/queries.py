@@ -85,7 +85,21 @@ _P3 = r"""
           FROM t WHERE term IS NOT NULL AND term <> '' GROUP BY 1, 2),
     m AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records > 0.5 * (SELECT count(*) FROM records) THEN 'common' END AS mark FROM c)
 """
+_P1 = """
+    WITH r AS (SELECT DISTINCT record_id, residues FROM records WHERE length(residues) >= 80),
+    w AS (SELECT record_id, p, w FROM (SELECT record_id, p, substr(residues, p + 1, 80) AS w FROM (SELECT *, unnest(range(length(residues) - 79)) AS p FROM r)) WHERE NOT regexp_matches(w, '[nN]{10}')),
+    s AS (SELECT w FROM w GROUP BY w HAVING min(record_id) <> max(record_id)),
+    h AS (SELECT DISTINCT record_id, p FROM w SEMI JOIN s USING (w)),
+    f AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY record_id ORDER BY p) + 80 THEN 0 ELSE 1 END AS fresh FROM h),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id ORDER BY p) AS island FROM f),
+    spans AS (SELECT record_id, CAST(min(p) AS BIGINT) AS span_start, CAST(max(p) + 80 AS BIGINT) AS span_end FROM i GROUP BY record_id, island)
+"""
 ORACLE = {
+    "p1_found": _P1 + "SELECT * FROM spans",
+    "p1_share": _P1
+    + """, c AS (SELECT record_id, CAST(sum(span_end - span_start) AS BIGINT) AS shared, count(*) AS n_spans FROM spans GROUP BY record_id),
+        l AS (SELECT record_id, CAST(max(coalesce(length(residues), 0)) AS BIGINT) AS letters FROM records GROUP BY record_id)
+        SELECT record_id, letters, coalesce(shared, 0) AS shared, coalesce(n_spans, 0) AS n_spans, CASE WHEN letters = 0 THEN 0.0 ELSE CAST(coalesce(shared, 0) AS DOUBLE) / letters END AS share FROM l LEFT JOIN c USING (record_id)""",
     "p3_counts": _P3 + "SELECT * FROM m",
     "p3_found": _P3 + "SELECT term_class, term, mark FROM m WHERE mark IS NOT NULL",
 }
