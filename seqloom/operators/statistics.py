@@ -30,12 +30,16 @@ def key_frequency(features: DataFrame) -> DataFrame:
 def percentile_cut(counts: DataFrame, key: str, share: float = 0.99) -> DataFrame:
     """Most frequent keys until their sum exceeds ``trunc(total * share)``; the one that crosses is in.
 
-    Ties are taken by key. The window is global, over one row for each key.
+    Ties are taken by key. The running sum is made over the different frequencies, of which a table of N rows has at most
+    sqrt(2 N), and only keys of the frequencies within the cut are ranked, each among those of its own.
     """
-    order = Window.orderBy(F.desc("n"), key).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("n").over(Window.partitionBy())
-    ranked = counts.withColumns({"running": F.sum("n").over(order), "_total": total})
-    return ranked.where(F.col("running") - F.col("n") <= F.floor(F.col("_total") * share)).drop("_total")
+    levels = counts.groupBy("n").agg((F.col("n") * F.count("*")).alias("_sum"))
+    earlier = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    most = F.floor(F.sum("_sum").over(Window.partitionBy()) * share)
+    levels = levels.select("n", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), most.alias("_most")).where("_before <= _most")
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(key))
+    ranked = counts.join(levels, "n").withColumn("running", (F.col("_before") + F.col("n") * rank).cast("long"))
+    return ranked.where(F.col("running") - F.col("n") <= F.col("_most")).select(*counts.columns, "running")
 
 
 def composition(records: DataFrame, by: str = "division") -> DataFrame:
