@@ -13,7 +13,7 @@ from seqloom.functions import native
 from seqloom.functions.location_udf import register
 from seqloom.operators import records as ops
 from seqloom.operators import statistics as stats
-from seqloom.session import new_folder, table
+from seqloom.session import by_key, new_folder, table
 from seqloom.sources.genbank import read_genbank, stream_genbank, write_genbank
 from seqloom.plans.sequence_queries import CANONICAL
 from seqloom.streaming.feature_stream import run_available
@@ -33,7 +33,7 @@ def full_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "record_refs").dropDuplicates(["ref_id"])
     r = r.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("ref_idx", "ref_id", *_REFERENCE))).alias("r"))
     refs = F.transform("r", lambda x: F.struct(*[x[c].alias(c) for c in _REFERENCE]))
-    out = table(spark, sf_dir, "records").join(f.select("record_id", listed.alias("features")), "record_id", "left").join(r.select("record_id", refs.alias("references")), "record_id", "left")
+    out = by_key(table(spark, sf_dir, "records"), "record_id").join(f.select("record_id", listed.alias("features")), "record_id", "left").join(r.select("record_id", refs.alias("references")), "record_id", "left")
     n = F.length("residues").cast("long")
     return out.withColumns({"name": F.concat(F.lit("R"), F.col("record_id").cast("string")), "locus_len": F.when(n > 0, n).otherwise(F.col("locus_len"))})
 

@@ -10,7 +10,7 @@ from seqloom.functions.location_udf import gb_find_bounds, gb_format_location, g
 from seqloom.operators import records as ops
 from seqloom.operators import statistics as stats
 from seqloom.operators.regions import merge_spans, overlap_join
-from seqloom.session import spread, table
+from seqloom.session import by_key, spread, table
 from seqloom.sources.genbank import parse_genbank, to_genbank
 
 REGION = 1000
@@ -300,7 +300,7 @@ def _nested(spark, sf_dir, columns=("name", "topology", "locus_len", "residues",
     quals = F.filter("qualifiers", lambda q: q["key"].isNotNull())
     grouped = f.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("feature_idx", "feature_id", "kind", "location_gb", quals.alias("qualifiers")))).alias("f"))
     listed = F.transform("f", lambda x: F.struct(x["kind"].alias("kind"), x["location_gb"].alias("location_gb"), x["qualifiers"].alias("qualifiers")))
-    out = _records(spark, sf_dir).select("record_id", *columns).join(grouped.select("record_id", listed.alias("features")), "record_id", "left")
+    out = by_key(_records(spark, sf_dir).select("record_id", *columns), "record_id").join(grouped.select("record_id", listed.alias("features")), "record_id", "left")
     return out.withColumn("features", F.coalesce("features", F.array().cast(ops.SIMPLE_FEATURE)))
 
 

@@ -71,6 +71,12 @@ def clear_cuts(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows placed by key for joins and Python steps that follow: later joins on the keys use this shuffle, and its
+    partitions aren't merged for being small in bytes, as records cost much to read and write for their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a table of fewer splits than task slots to all slots, before a costly step in Python.
 
