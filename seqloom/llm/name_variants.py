@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from seqloom.operators.packed_values import clean
-from seqloom.session import cut
+from seqloom.session import by_key, cut
 
 #: Cores of fewer letters have many neighbours by chance: an edit of one must be so much likelier.
 SHORT_CORE, SHORT_FACTOR = 5, 0.1
@@ -357,7 +357,7 @@ def name_entities(names: DataFrame) -> DataFrame:
     core, sig and entity together tell the person or body.
     """
     spelled = names.where(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("field", "name").agg(F.count("*").alias("n"))
-    read = cut(_everywhere(spelled, "name").mapInArrow(_read, _READ_SCHEMA))
+    read = cut(by_key(spelled, "name").mapInArrow(_read, _READ_SCHEMA))
     options = read.withColumn("sig", F.explode("sigs"))
     profiles = options.groupBy("field", "core", "sig").agg(F.sum(F.col("n") / F.size("sigs")).alias("n"))
     # a nickname that may stand for names with several initials goes where most of its core is
@@ -370,18 +370,13 @@ def name_entities(names: DataFrame) -> DataFrame:
     forms = rooted.groupBy("field", "root", "sig", "given", "middle", "words").agg(F.sum("n").alias("n"))
     forms = forms.join(names_in_use, "given", "left").withColumn("in_use", F.coalesce("in_use", F.lit(False)))
     groups = forms.groupBy("field", "root", "sig").agg(F.collect_list(F.struct("given", "middle", "words", "n", "in_use")).alias("forms"))
-    told = _everywhere(groups, "root", "sig").mapInArrow(_group, _FORM_SCHEMA)
+    told = by_key(groups, "root", "sig").mapInArrow(_group, _FORM_SCHEMA)
     keys = ("field", "root", "sig", "given", "middle", "words")
     r, t = rooted.alias("r"), told.alias("t")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in keys]
     return r.join(t, same).select("r.field", "r.name", "r.n", F.col("r.root").alias("core"), "r.sig", "t.entity")
 
 
-def _everywhere(df: DataFrame, *keys: str) -> DataFrame:
-    """Small rows that cost much Python each: as many partitions as the session shuffles into, whatever their size in bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def variant_pairs(entities: DataFrame) -> DataFrame:
     """(field, name_a, name_b), name_a < name_b: every two spellings of one entity."""
     e = cut(entities)
